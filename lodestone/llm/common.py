@@ -168,3 +168,36 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def _checksum(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def with_prefix(df: DataFrame, order: Sequence[str], value: str | Column, out: str) -> DataFrame:
+    """Add `out`: the sum of `value` over all rows up to and including this one in the global order of the columns
+    `order`, ascending, nulls first.
+
+    The rows are range-sorted and written with their range's number; the sums of the ranges, one row for each partition,
+    are added up and joined back.
+    """
+    ranged = df.withColumn("_value", F.col(value) if isinstance(value, str) else value).repartitionByRange(*order)
+    ranged = cut(ranged.withColumn("_pid", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_pid").agg(F.sum("_value").alias("_sum"))
+    totals = totals.withColumn("_before", F.sum("_sum").over(Window.orderBy("_pid")) - F.col("_sum")).drop("_sum")
+    own = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # One row for each partition of the range sort: its number bounds the broadcast.
+    return ranged.join(F.broadcast(totals), "_pid").withColumn(out, F.sum("_value").over(own) + F.col("_before")).drop("_pid", "_value", "_before")
+
+
+def held_rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """(_id, _hash, row): each row as one column, so that no name of its own can clash, and what names it."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return held.select(F.col(f"row.`{id_col}`").cast("long").alias("_id"), F.xxhash64("row").alias("_hash"), "row")
+
+
+def one_each(held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of held_rows() that `chosen` (_id, _hash, _n, more) names, with its other columns: one for each name.
+    _n says how many rows share the name."""
+    found = null_safe_join(held, chosen, ["_id", "_hash"])
+    return found.where("_n = 1").unionByName(found.where("_n > 1").dropDuplicates(["_id", "_hash"])).drop("_n")
+
+
+def unheld(held: DataFrame, schema: T.StructType) -> DataFrame:
+    return held.select(*[F.col(f"row.`{f.name}`").alias(f.name) for f in schema.fields])

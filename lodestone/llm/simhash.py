@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_batches, null_safe_join, text_bytes
+from .common import components, cut, held_rows, map_batches, null_safe_join, one_each, text_bytes, unheld
 
 SEGMENT = 32
 #: Members of a variant that are compared with each other; beyond it wider variants take over.
@@ -220,9 +220,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The rows of docs with one left of each group of near-duplicates, columns as they were: the one with the least id
     (null last), and among rows of that id the least by a hash of the whole row. Of rows that agree in all columns one
     stays."""
-    schema = docs.schema
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    held = held.select(F.col(f"row.`{id_col}`").cast("long").alias("_id"), F.xxhash64("row").alias("_hash"), "row")
+    held = held_rows(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +233,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = components(links(nodes, reach)).withColumnRenamed("node", "fp")
     linked = nodes.join(found, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
     best = linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._id").alias("_id"), F.col("least._hash").alias("_hash")).distinct()
-    several = rows.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    best = cut(null_safe_join(best, several, ["_id", "_hash"], "left"), "kept")
-    kept = null_safe_join(held, best, ["_id", "_hash"])
-    single = kept.where("_n IS NULL").select("row")
-    repeated = kept.where("_n IS NOT NULL").dropDuplicates(["_id", "_hash"]).select("row")
-    return single.unionByName(repeated).select(*[F.col(f"row.`{f.name}`").alias(f.name) for f in schema.fields])
+    names = rows.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    best = cut(null_safe_join(best, names, ["_id", "_hash"]), "kept")
+    return unheld(one_each(held, best), docs.schema)
