@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, mixing, quality_classifier, quality_rules, secrets, sharding, simhash
+from . import chat, decontamination, html_text, mixing, quality_classifier, quality_rules, secrets, sharding, simhash, suffix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=2)
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -67,4 +71,5 @@ QUERIES: dict[str, Query] = {
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
+    "op10_suffix": op10_suffix,
 }
