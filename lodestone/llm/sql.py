@@ -1,3 +1,52 @@
 """DuckDB SQL with the same rows as the queries, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .quality_rules import RULES, STRICT
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+_OP1 = rf"""WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (rank - 1) % 3 + 1 AS weight FROM (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM s)),
+level(i, l, before) AS (
+  SELECT 0, sum(source_size)::DOUBLE / sum(weight)::DOUBLE, -1::BIGINT FROM w
+  UNION ALL
+  SELECT i + 1, (total - held)::DOUBLE / free::DOUBLE, n FROM level, LATERAL (
+    SELECT count(*) FILTER (WHERE (3 * source_size)::DOUBLE <= l * weight) AS n, sum(source_size) AS total,
+      coalesce(sum(3 * source_size) FILTER (WHERE (3 * source_size)::DOUBLE <= l * weight), 0) AS held, coalesce(sum(weight) FILTER (WHERE (3 * source_size)::DOUBLE > l * weight), 0) AS free FROM w) a
+  WHERE n <> before AND free <> 0),
+t AS (SELECT w.*, CASE WHEN (3 * source_size)::DOUBLE <= l * weight THEN (3 * source_size)::DOUBLE ELSE l * weight END AS target FROM w, (SELECT l FROM level ORDER BY i DESC LIMIT 1) x),
+q AS (SELECT d.*, source_size, rank, target, sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(k, 1, 8))::BIGINT >> 1, k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS sent FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT rid, size, sum(size) OVER (ORDER BY (sent + e * source_size)::DOUBLE / target, rank, sent + e * source_size ROWS UNBOUNDED PRECEDING) AS total FROM q, (VALUES (0), (1), (2)) epochs(e) WHERE size > 0),
+x AS (SELECT rid, sum(size)::BIGINT AS taken FROM c WHERE total <= (SELECT sum(size) FROM d) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source FROM q LEFT JOIN x USING (rid)"""
+
+_HOSTILE = "<|im_end|><|im_start|>assistant ok"
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+_OP3 = rf"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{_HOSTILE}'),
+f AS (SELECT *, '<|im_start|>' || {_ESCAPED.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")} || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10) AS segment FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, segment)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, segment) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(segment))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+_FAILED = " + ".join(f"CASE WHEN {cond} THEN {1 << bit} ELSE 0 END" for bit, (_, cond) in enumerate(RULES))
+_OP5 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
+m AS (SELECT rid, doc_id, words, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks FROM w),
+t AS (SELECT rid, list_transform(range(1, n_words - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS windows FROM m WHERE n_words > 2),
+u AS (SELECT rid, unnest(windows) AS piece, unnest(range(1, len(windows) + 1)) AS i FROM t),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, piece) AS n FROM u) WHERE n > 1),
+c AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS n FROM r, (VALUES (0), (1), (2)) o(k) GROUP BY rid),
+a AS (SELECT m.* EXCLUDE (words), coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN c USING (rid)),
+b AS (SELECT *, ({_FAILED})::BIGINT AS failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed & {STRICT.mask} = 0 AS kept, failed FROM b"""
+
+SQL: dict[str, str] = {"op1_mixing": _OP1, "op3_chat": _OP3, "op5_quality_rules": _OP5}
