@@ -52,8 +52,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def from_files(spark: SparkSession, root: str, commit: str | None = None, max_file_bytes: int = MAX_FILE_BYTES) -> Corpus:
-    """All files below root; with a commit, those that it lists. Contents are those of the working tree."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """All files below root; with a commit, those that it lists. Contents are those of the working tree when a search
+    reads them; a file that is gone by then is skipped."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
     docs = raw.select(F.lit(0).cast("long").alias("doc_id"), relative_path(F.col("path"), root).alias("path"), "content", F.unix_seconds("modificationTime").alias("mtime_secs"))
     listed = git_files(root, commit) if commit else []
     docs = docs.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi") if listed else docs.where(not_skipped(F.col("path")))
