@@ -2,8 +2,8 @@
 
 Linked documents, here those of equal texts, should share a shard, and all shards should be even. Linked documents of
 one group that start in the same shard move as one block, so a group makes `shards` blocks at most, whatever its
-size. In each round a block's neighbours vote: it asks for the shard with room in which most of its group is. Requests are
-granted in a hashed order of the groups up to the shard's room. At the end each shard gives up what exceeds its quota,
+size. In each round a block's neighbours vote: it asks for the shard in which most of its group is. What a shard may take in is its
+room and what leaves it; requests are granted in a hashed order of the groups. At the end each shard gives up what exceeds its quota,
 and these and the documents without links fill the shards exactly.
 
 The law `rows` counts documents: shards differ by one at most. The law `bytes` counts sizes: shards differ by about one
@@ -23,6 +23,8 @@ from .common import cut, drop_cut, null_safe_join, with_running
 
 #: Bytes that a document takes beside its text.
 HEADER = 16
+#: Rows up to which a group without a place is kept together.
+TOGETHER = 256
 
 
 def _hash31(*cols: Column) -> Column:
@@ -39,33 +41,89 @@ def _array(values: list[int]) -> Column:
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
+def _grants(asked: dict[tuple[int, int], int], room: list[int]) -> list[int]:
+    """How much weight each shard may take in, of what asks to move between which shards.
+
+    Moves along a cycle of shards need no room and are granted first. What is left has no cycle, so shards can be
+    taken in an order in which all that leaves one is known before what enters it: its room and that may enter.
+    """
+    n = len(room)
+    rest = [{} for _ in range(n)]
+    for (a, b), w in asked.items():
+        if a != b and w > 0:
+            rest[a][b] = w
+    grant, done = [0] * n, []
+    dead = [False] * n
+    for first in range(n):
+        path, place = [first], {first: 0}
+        while path:
+            here = path[-1]
+            ahead = next((b for b in rest[here] if not dead[b]), None) if not dead[here] else None
+            if ahead is None:  # no cycle goes through it any more
+                dead[here] = True
+                if here not in done:
+                    done.append(here)
+                place.pop(path.pop())
+            elif ahead in place:
+                ring = path[place[ahead] :]
+                steps = list(zip(ring, [*ring[1:], ahead], strict=True))
+                least = min(rest[a][b] for a, b in steps)
+                for a, b in steps:
+                    grant[b] += least
+                    rest[a][b] -= least
+                    if not rest[a][b]:
+                        del rest[a][b]
+                for x in path[place[ahead] + 1 :]:
+                    place.pop(x)
+                del path[place[ahead] + 1 :]
+            else:
+                place[ahead] = len(path)
+                path.append(ahead)
+    left = [0] * n
+    for target in done:  # what a shard sends goes to shards before it in this order
+        open_ = max(0, room[target] + left[target])
+        for a in range(n):
+            if target in rest[a]:
+                take = min(open_, rest[a][target])
+                grant[target] += take
+                left[a] += take
+                open_ -= take
+    return grant
+
+
 def propagate(blocks: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """(g, start, shard) of the blocks (g, start, w) that found a place within the quotas."""
+    """The blocks (g, start, w, more) with their shard, null for what found no place within the quotas.
+
+    Every second round asks shards with room only, so a group larger than a shard goes on to the next one.
+    """
     shards = len(quotas)
-    state = cut(blocks.withColumn("shard", F.col("start")), "labels")
-    count = state.count()
-    for _ in range(rounds if count else 0):
-        room = [max(0, q - n) for q, n in zip(quotas, _loads(state, shards), strict=True)]
+    state = cut(blocks.select("g", "start", "w", F.col("start").alias("shard")), "labels")
+    count, still = state.count(), 0
+    for step in range(rounds if count else 0):
+        room = [q - n for q, n in zip(quotas, _loads(state, shards), strict=True)]
         votes = state.groupBy("g", "shard").agg(F.sum("w").alias("v"))
         rank = F.struct(F.col("v"), F.xxhash64("g", "shard").alias("h"), F.col("shard").alias("target"))
-        open_ = F.element_at(_array(room), (F.col("shard") + 1).cast("int")) > 0
+        open_ = F.element_at(_array(room), (F.col("shard") + 1).cast("int")) > 0 if step % 2 else F.lit(True)
         best = votes.where(open_).groupBy("g").agg(F.max(rank).alias("best"))
         now = votes.select("g", "shard", rank.alias("own"))
         asked = state.join(now, ["g", "shard"]).join(best, "g", "left")
         asked = asked.withColumn("moves", F.coalesce(F.col("best") > F.col("own"), F.lit(False))).withColumn("target", F.col("best.target"))
         asked = cut(asked.select("g", "start", "w", "shard", "moves", "target"), "requests")
         movers = asked.where("moves").withColumn("_h", _hash31(F.col("g"), F.lit(3)))
+        wanted = {(r[0], r[1]): int(r[2]) for r in movers.groupBy("shard", "target").agg(F.sum("w")).collect()}  # shards squared at most
+        # In the order of a hash of the group, so that its blocks are let in together.
         granted = with_running(movers, ["target"], ["g", "start"], "_h", "w", count, "_sum")
-        fits = F.col("_sum") <= F.element_at(_array(room), (F.col("target") + 1).cast("int"))
+        fits = F.col("_sum") <= F.element_at(_array(_grants(wanted, room)), (F.col("target") + 1).cast("int"))
         moved = granted.select("g", "start", "w", F.when(fits, F.col("target")).otherwise(F.col("shard")).alias("shard"))
         following = cut(asked.where("not moves").select("g", "start", "w", "shard").unionByName(moved), "labels")
-        changed = granted.where(fits).limit(1).count()
+        still = 0 if wanted and granted.where(fits).limit(1).count() else still + 1
         drop_cut(state)
         state = following
-        if not changed:
+        if still == 2:
             break
     kept = with_running(state.withColumn("_h", _hash31(F.col("g"), F.lit(3))), ["shard"], ["g", "start"], "_h", "w", max(1, count), "_sum")
-    return kept.where(F.col("_sum") <= F.element_at(_array(quotas), (F.col("shard") + 1).cast("int"))).select("g", "start", "w", "shard")
+    fits = F.col("_sum") <= F.element_at(_array(quotas), (F.col("shard") + 1).cast("int"))
+    return blocks.drop("w").join(kept.select("g", "start", "w", F.when(fits, F.col("shard")).alias("shard")), ["g", "start"])
 
 
 def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,17 +138,19 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 4,
     # Texts are equal if their hash, checksum and size are.
     key = F.xxhash64("g", "text_crc32", "size")
     linked = rows.where("g IS NOT NULL").groupBy(key.alias("g"), "start").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    linked = linked.withColumn("all", F.sum("n").over(Window.partitionBy("g"))).where("all > 1").select("g", "start", "w")
-    placed = cut(propagate(linked, quotas, rounds), "placed")
-    load = _loads(placed, shards)
+    linked = linked.withColumn("all", F.sum("n").over(Window.partitionBy("g"))).where("all > 1").select("g", "start", "w", (F.col("all") <= TOGETHER).alias("small"))
+    placed = cut(propagate(cut(linked, "blocks"), quotas, rounds), "placed")
+    load = _loads(placed.where("shard IS NOT NULL"), shards)
     dealt = cut(rows.withColumn("g", F.when(F.col("g").isNotNull(), key)).join(placed.drop("w"), ["g", "start"], "left"), "dealt")
-    loose = with_running(dealt.where("shard IS NULL").drop("shard"), [], ["doc_id", "g"], "_h", "w", max(1, count), "_sum")
+    # What is left goes in a hashed order, in which small groups stand together.
+    rest = dealt.where("shard IS NULL").drop("shard").withColumn("_o", F.when(F.col("small"), _hash31(F.col("g"), F.lit(5))).otherwise(F.col("_h")))
+    loose = with_running(rest, [], ["g", "doc_id"], "_o", "w", max(1, count), "_sum")
     at = F.col("_sum") - 1 if law == "rows" else F.col("_sum") - F.col("w") / 2
     ends, free = [], 0
     for t in range(shards - 1):
         free += quotas[t] - load[t]
         ends.append(free)
-    filled = loose.withColumn("shard", sum(((at >= F.lit(e)).cast("int") for e in ends), F.lit(0))).drop("_sum")
+    filled = loose.withColumn("shard", sum(((at >= F.lit(e)).cast("int") for e in ends), F.lit(0))).drop("_sum", "_o")
     everything = dealt.where("shard IS NOT NULL").unionByName(filled)
     slots = with_running(everything, ["shard"], ["doc_id", "g"], "_h", F.lit(1).cast("long"), max(1, count), "_slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("_slot") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
