@@ -31,8 +31,8 @@ SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "cred
 #: Code points on either side of a sensitive word in which candidates lie, and around a candidate that prime the compressor.
 NEAR, AROUND = 80, 512
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Added bytes for each character of a candidate: hex digits hold 0.5, base64 0.75.
-MIN_NOVELTY = 0.45
+#: Added bytes for each character of a candidate. Random ones of this length add 0.9 and more: too few for entropy coding.
+MIN_NOVELTY = 0.8
 #: Identifiers and words common in code and configuration.
 IDENTIFIERS = (
     "abstract accessKeyId add address algorithm alias allow and apiKey app apply args array assert async attribute authorization await base64 before begin bool boolean bucket buffer build byte cache callback cancel case catch channel char class "
@@ -59,8 +59,16 @@ def patterns(text: str, lower: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+_JOINT = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z])|[_/+=-]+")
+
+
+def _words(piece: str) -> str:
+    """An identifier as words in lower case, as the dictionary has them."""
+    return " " + _JOINT.sub(" ", piece).lower() + " "
+
+
 class Novelty:
-    """Added compressed bytes for each character."""
+    """Added compressed bytes for each character: of the string as it is or of its words, whichever are fewer."""
 
     def __init__(self) -> None:
         self.dictionary = IDENTIFIERS.encode()
@@ -68,9 +76,10 @@ class Novelty:
     def __call__(self, text: str, start: int, end: int) -> float:
         around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode()
         primed = zstandard.ZstdCompressionDict(self.dictionary + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False)
-        without, whole = around, around + text[start:end].encode()
-        return (len(compressor.compress(whole)) - len(compressor.compress(without))) / (end - start)
+        compressor = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False)
+        without = len(compressor.compress(around))
+        piece = text[start:end]
+        return min(len(compressor.compress(around + x.encode())) - without for x in (piece, _words(piece))) / (end - start)
 
 
 def novel(text: str, lower: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
