@@ -89,18 +89,31 @@ def _first_shared(seg: int, bit: int, x: np.ndarray) -> np.ndarray:
     return ~single & ((low == own) | ((low == 0) & (bit == 0)))
 
 
-def _stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of each component of the links, in place of the links."""
-    label = np.arange(n)
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links: each round every component takes its first link to another one."""
+    label, kept_a, kept_b = np.arange(n), [a[:0]], [b[:0]]
     while True:
-        fresh = label.copy()
-        np.minimum.at(fresh, a, label[b])
-        np.minimum.at(fresh, b, label[a])
-        fresh = fresh[fresh]
-        if (fresh == label).all():
-            moved = np.flatnonzero(label != np.arange(n))
-            return moved, label[moved]
-        label = fresh
+        x, y = label[a], label[b]
+        cross = x != y
+        if not cross.any():
+            return np.concatenate(kept_a), np.concatenate(kept_b)
+        a, b, x, y = a[cross], b[cross], x[cross], y[cross]
+        first = np.full(n, len(a))
+        np.minimum.at(first, x, np.arange(len(a)))
+        np.minimum.at(first, y, np.arange(len(a)))
+        taken = np.unique(first[first < len(a)])
+        kept_a.append(a[taken])
+        kept_b.append(b[taken])
+        root = np.arange(n)
+        while True:
+            fresh = root.copy()
+            np.minimum.at(fresh, x[taken], root[y[taken]])
+            np.minimum.at(fresh, y[taken], root[x[taken]])
+            fresh = fresh[fresh]
+            if (fresh == root).all():
+                break
+            root = fresh
+        label = root[label]
 
 
 def _links(reach: int):
@@ -114,9 +127,9 @@ def _links(reach: int):
             i, j = np.nonzero(np.triu((np.bitwise_count(x) <= reach) & _first_shared(seg, bit, x), 1))
             a, b = np.concatenate((a, i + at)), np.concatenate((b, j + at))
             if len(a) > 4 * len(fps):
-                a, b = _stars(len(fps), a, b)
+                a, b = _forest(len(fps), a, b)
         if len(fps) > FEW and len(a) >= len(fps):
-            a, b = _stars(len(fps), a, b)
+            a, b = _forest(len(fps), a, b)
         return fps[a], fps[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
