@@ -111,7 +111,7 @@ def segments(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["_id", "_hash", "start", "windows", "place", "anchor", "seg"]
+    names = ["_id", "_hash", "start", "windows", "place", "anchor", "seg", "n"]
     for batch in batches:
         texts = text_bytes(batch.column(2))
         flat, offsets = flat_bytes(texts)
@@ -119,8 +119,13 @@ def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         raw, at = memoryview(flat), offsets[row] + start
         digest = xxhash.xxh64_intdigest
         seg = np.fromiter((digest(raw[a:b]) for a, b in zip(at.tolist(), (at + windows + LENGTH - 1).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
+        # The first of a batch's equal segments counts for all of them.
+        order = np.lexsort((seg, anchor))
+        first = np.flatnonzero(np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (seg[order][1:] != seg[order][:-1])))) if len(order) else order
+        n = np.zeros(len(order), np.int64)
+        n[order[first]] = np.diff(np.append(first, len(order)))
         take = pa.array(row)
-        cols = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, windows, place)), pa.array(anchor), pa.array(seg)]
+        cols = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, windows, place)), pa.array(anchor), pa.array(seg), pa.array(n)]
         for k in range(0, len(row), 1 << 16):
             yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 16) for c in cols], names)
 
@@ -209,14 +214,17 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(held: DataFrame) -> DataFrame:
     """(_id, _hash, lo, hi): runs of repeated windows' starts in the texts of (_id, _hash, text), in bytes."""
-    spots = cut(map_batches(held, _emit_segments, "_id long, _hash long, start int, windows int, place int, anchor long, seg long"), "segments")
-    counted = spots.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("anchor", "seg"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
-    shared = cut(counted.where("all > 1").withColumn("mixed", F.col("all") > F.col("copies")).drop("all"), "shared")
+    spots = cut(map_batches(held, _emit_segments, "_id long, _hash long, start int, windows int, place int, anchor long, seg long, n long"), "segments")
+    # Copies of each segment, and all segments of its anchor: equal ones of a batch are one row here.
+    tally = spots.where("n > 0").select("anchor", "seg", "n").repartition("anchor").groupBy("anchor", "seg").agg(F.sum("n").alias("copies"))
+    own = Window.partitionBy("anchor")
+    tally = tally.withColumn("all", F.sum("copies").over(own)).withColumn("kinds", F.count(F.lit(1)).over(own)).where("all > 1")
+    tally = tally.select("anchor", "seg", "copies", (F.col("kinds") > 1).alias("mixed"), (F.col("kinds") > HOT).alias("hot"))
+    shared = cut(spots.drop("n").join(tally, ["anchor", "seg"]), "shared")
     whole = shared.where("copies > 1").select("_id", "_hash", F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi"))
 
-    kinds = shared.where("mixed").groupBy("anchor", "seg").agg(F.min(F.struct("_id", "_hash", "start", "windows", "place")).alias("one"))
-    many = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > HOT).alias("hot"))
-    wanted = kinds.join(many, "anchor").groupBy("one._id", "one._hash").agg(F.collect_list(F.struct("anchor", "seg", "one.start", "one.windows", "one.place", "hot")).alias("wanted"))
+    kinds = shared.where("mixed").groupBy("anchor", "seg", "hot").agg(F.min(F.struct("_id", "_hash", "start", "windows", "place")).alias("one"))
+    wanted = kinds.groupBy("one._id", "one._hash").agg(F.collect_list(F.struct("anchor", "seg", "one.start", "one.windows", "one.place", "hot")).alias("wanted"))
     texts = null_safe_join(held, wanted, ["_id", "_hash"])
     pieces = cut(map_batches(texts.select(F.col("text").cast("binary").alias("text"), "wanted"), _cut_out, "anchor long, seg long, place int, windows int, text binary, hot boolean"), "pieces")
 
