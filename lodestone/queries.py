@@ -217,7 +217,13 @@ def bigram_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.crossJoin(F.broadcast(found.agg(F.max("freq").alias("_max")))).select("key", (F.col("_max") - F.col("freq") + 1).alias("weight"))
 
 
-@query("sparse_ngrams")
+SPARSE = f"""WITH f AS ({PAIRS.format(docs=BENCHMARK)}), t AS (SELECT doc_id, hex(encode(text)) AS h FROM ({BENCHMARK})),
+p AS (SELECT doc_id, h, i, (SELECT max(freq) FROM f) - freq + 1 AS w FROM (SELECT doc_id, h, i, ('0x' || substr(h, 2 * i + 1, 4))::BIGINT AS key FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 1)) AS i FROM t)) JOIN f USING (key)),
+g AS (SELECT a.doc_id, a.h, a.i AS l, b.i AS r, least(a.w, b.w) AS w FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i < a.i + 24)
+SELECT DISTINCT doc_id, substr(h, 2 * l + 1, 2 * (r - l + 2)) AS ngram FROM g WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.doc_id = g.doc_id AND c.i > g.l AND c.i < g.r AND c.w >= g.w)"""
+
+
+@query("sparse_ngrams", SPARSE)
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.sparse_table(benchmark(spark, sf_dir)).select("doc_id", F.hex("ngram").alias("ngram"))
 
