@@ -152,5 +152,7 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 4,
         ends.append(free)
     filled = loose.withColumn("shard", sum(((at >= F.lit(e)).cast("int") for e in ends), F.lit(0))).drop("_sum", "_o")
     everything = dealt.where("shard IS NOT NULL").unionByName(filled)
+    # Another hash than the one that filled the shards, so each shard's rows lie in all ranges.
+    everything = everything.withColumn("_h", _hash31(F.col("doc_id"), F.col("g"), F.lit(9)))
     slots = with_running(everything, ["shard"], ["doc_id", "g"], "_h", F.lit(1).cast("long"), max(1, count), "_slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("_slot") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
