@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = found.join(nodes, "fp")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     classes = nodes.join(linked.withColumnRenamed("component_id", "_c"), "fp", "left").select("fp", F.coalesce("_c", "least").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Written first: both sides of the join are plain shuffles then, of which Spark splits a fingerprint with many copies.
+    return rows.join(cut(classes, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, reach: int = 3) -> DataFrame:
