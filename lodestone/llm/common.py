@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if own := _local_dirs.get(spark.sparkContext.applicationId):
         return own
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     holder = tempfile.TemporaryDirectory(prefix="lodestone-")
     atexit.register(holder.cleanup)
