@@ -29,16 +29,18 @@ from .common import map_batches
 
 BLOCKS = frozenset("html head body title article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset legend select option button label textarea address details summary dialog menu iframe object svg canvas template noscript hr center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg canvas".split())
+#: What these hold is no text of the page. Those of the second line stand within a line of text.
+RAW = frozenset("noscript template iframe object svg canvas script style select textarea button".split())
+INLINE_RAW = frozenset("script style select textarea button".split())
 #: Text of these is characters up to their own end tag.
-TEXT_ONLY = frozenset(("title", "textarea", "select", "button"))
+TEXT_ONLY = frozenset(("title",))
 #: An open element of the second kind ends where the first starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.DOTALL)
 _HINTS = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
-_AGAINST = re.compile(r"nav|menu|foot|header|masthead|side|aside|\bads?\b|advert|banner|promo|sponsor|cookie|consent|notice|alert|comment|reply|disqus|share|social|related|recommend|form|login|signup|subscribe|newsletter|breadcrumb|widget|popup|modal|search|pagination|copyright|legal|toolbar|hidden", re.IGNORECASE)
+_AGAINST = re.compile(r"\bnav|navbar|navigation|menu|foot(?:er|\b)|header|masthead|sidebar|\bside\b|\baside\b|(?:\b|_)ads?(?:\b|_)|advert|banner|promo|sponsor|cookie|consent|notice|alert|comments?\b|comment-|reply|replies|disqus|\bshar(?:e|ing)\b|social|related|recommend|\bforms?\b|login|signup|subscribe|newsletter|breadcrumb|widget|popup|modal|search|pagination|copyright|legal|toolbar|hidden", re.IGNORECASE)
 _FOR = re.compile(r"article|content|post|entry|main|body|story|text|prose", re.IGNORECASE)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -92,7 +94,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         if tag in RAW and not closing:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             at = close.end() if close else end
-            if tag not in ("script", "style"):
+            if tag not in INLINE_RAW:
                 open_ = False
             continue
         if tag == "a":
