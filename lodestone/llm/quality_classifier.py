@@ -171,8 +171,8 @@ def _collected(df: DataFrame, rows: int) -> tuple[tuple[np.ndarray, np.ndarray],
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained | None:
     """docs: doc_id, text, lang, source, n_chars. labels: doc_id, quality."""
-    marks = _sampled(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), fit_rows, 11)
-    # The sample's bound is the broadcast's.
+    marks = _sampled(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct(), fit_rows, 11)
+    marks = marks.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(2 * fit_rows)  # the broadcast's bound
     (text, meta), rows = _collected(_features(docs.join(F.broadcast(marks), "doc_id"), "quality"), fit_rows)
     y = np.array([r["quality"] for r in rows], int)
     pool, _ = _collected(_features(_sampled(docs.where("doc_id IS NOT NULL"), pool_rows, 13)), pool_rows)
