@@ -33,19 +33,15 @@ NEAR, AROUND = 80, 512
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Added bytes for each character of a candidate. Random ones of this length add 0.9 and more: too few for entropy coding.
 MIN_NOVELTY = 0.8
-#: Identifiers and words common in code and configuration.
+#: Identifiers and words common in code and configuration, and what stands in for a secret in examples.
 IDENTIFIERS = (
-    "abstract accessKeyId add address algorithm alias allow and apiKey app apply args array assert async attribute authorization await base64 before begin bool boolean bucket buffer build byte cache callback cancel case catch channel char class "
-    "clear client close cluster code collection column command commit compare compute config connection const constructor container content context continue copy count create credential current cursor data database date debug decode default define delete "
-    "description destination directory disable display document domain double driver duration element else email enable encode encrypt endpoint entity enum environment error event example except exception execute exists expire export expression extends false "
-    "fetch field file filter final finally find first flag float folder for format forward found frame from function generate get global group handle hash header height hidden host http https identifier if image implements import in include index info "
-    "init input insert install instance int integer interface internal invalid is item iterator javascript join json key label lambda last layout length level library limit line link list listener load local location lock log login long lookup loop "
-    "main manager map master match max memory merge message metadata method metric middleware min mode model module monitor mutable name namespace native network new next node none not null number object offset on open operation option or order output "
-    "override owner package page parameter parent parse password path pattern payload permission pipeline placeholder plugin point policy pool port position prefix print private process profile project promise property protected protocol provider proxy "
-    "public publish query queue raise random range read receive record reference refresh register remote remove rename render replace repository request require reset resource response result return role root route row rule run schema scope search secret "
-    "section security select self sequence serialize server service session set setting shard signature size sort source split stack start state static status step stop storage store stream string struct subject subscribe success suffix super switch "
-    "sync system table target task template test text this thread throw time timeout timestamp title to token topic total trace transaction transform tree trigger true try tuple type undefined union unique unit update upload url usage user username uuid "
-    "valid validate value variable vector verify version view virtual visible void volume wait warning while width window with work worker write yield your-api-key-here changeme example placeholder xxxxxxxxxxxxxxxx 0123456789abcdef abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    "access account action add address alias allow and api app args array async auth base batch before begin bool bucket buffer build byte cache call cancel case channel char check class clear client close code column commit "
+    "config connect const context copy count create credential current data date debug decode default delete digest domain enable encode end entry env error event example false fetch field file filter find flag for format "
+    "from function get group handle hash header host http id image import index info init input instance int item job json key label last length level limit line link list load local lock log login main map match max memory "
+    "message method min mode model module name new next node not null number object offset open option order output page parent parse password path private public query queue range read record ref remove request reset "
+    "resource response result return role root route row run save schema search secret section send server service session set signature size sort source start state status step store stream string submit sync system table "
+    "target task test text thread time timeout to token total true type unit update url usage user util valid value version view wait with worker write "
+    "your-api-key-here changeme placeholder xxxxxxxxxxxxxxxx 0123456789abcdef abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
 
 
