@@ -2,7 +2,8 @@
 
 Linked documents, here those of equal texts, should share a shard, and all shards should be even. Linked documents of
 one group that start in the same shard move as one block, so a group makes `shards` blocks at most, whatever its
-size. In each round a block's neighbours vote: it asks for the shard in which most of its group is. What a shard may take in is its
+size. Groups of an eighth of a shard and more, of which there are eight a shard at most, are given their places first: as many whole shards
+as they fill and one more for the rest, row by row in a hashed order. The others propagate within the room that is left: in each round a block's neighbours vote: it asks for the shard in which most of its group is. What a shard may take in is its
 room and what leaves it; requests are granted in a hashed order of the groups. At the end each shard gives up what exceeds its quota,
 and these and the documents without links fill the shards exactly.
 
@@ -15,6 +16,8 @@ like any other. Fewer rows than shards leave the last ones empty.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +28,8 @@ from .common import cut, drop_cut, null_safe_join, with_running
 HEADER = 16
 #: Rows up to which a group without a place is kept together.
 TOGETHER = 256
+#: Part of a shard from which on a group is placed before the others.
+PART = 8
 
 
 def _hash31(*cols: Column) -> Column:
@@ -91,20 +96,47 @@ def _grants(asked: dict[tuple[int, int], int], room: list[int]) -> list[int]:
     return grant
 
 
+def _pieces(groups: list[tuple[int, int, int]], quotas: list[int]) -> list[tuple[int, int, int, int]]:
+    """(g, rows before, rows up to, shard) for groups (g, weight, rows) whose rows weigh the same, the heaviest first.
+
+    A group, or what is left of it, goes to the shard with the least room that takes it whole, or fills the one with the
+    most. Rows that no shard has room for are in no piece.
+    """
+    room, out = list(quotas), []
+    for g, weight, rows in sorted(groups, key=lambda x: (-x[1], x[0])):
+        each, done = weight // rows, 0
+        while done < rows:
+            fits = [t for t, r in enumerate(room) if r >= (rows - done) * each]
+            target = min(fits, key=lambda t: (room[t], t)) if fits else max(range(len(room)), key=lambda t: (room[t], -t))
+            take = min(rows - done, room[target] // each)
+            if not take:
+                break
+            out.append((g, done, done + take, target))
+            room[target] -= take * each
+            done += take
+    return out
+
+
 def propagate(blocks: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """The blocks (g, start, w, more) with their shard, null for what found no place within the quotas.
 
-    Every second round asks shards with room only, so a group larger than a shard goes on to the next one.
+    Every second round asks shards with room for the group's smallest block only, so a group goes on from a full shard to the next one. After `rounds`
+    rounds it goes on while more of the groups' pairs come together; two rounds without a move end it before.
     """
     shards = len(quotas)
     state = cut(blocks.select("g", "start", "w", F.col("start").alias("shard")), "labels")
-    count, still = state.count(), 0
-    for step in range(rounds if count else 0):
+    count, still, most = state.count(), 0, -1.0
+    for step in itertools.count() if count else ():
+        if step >= rounds and step % 2 == rounds % 2:  # a round of each kind
+            together = state.groupBy("g", "shard").agg(F.sum("w").cast("double").alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0]
+            if together <= most * (1 + 1e-9):
+                break
+            most = together
         room = [q - n for q, n in zip(quotas, _loads(state, shards), strict=True)]
-        votes = state.groupBy("g", "shard").agg(F.sum("w").alias("v"))
+        votes = state.groupBy("g", "shard").agg(F.sum("w").alias("v"), F.min("w").alias("least"))
         rank = F.struct(F.col("v"), F.xxhash64("g", "shard").alias("h"), F.col("shard").alias("target"))
-        open_ = F.element_at(_array(room), (F.col("shard") + 1).cast("int")) > 0 if step % 2 else F.lit(True)
-        best = votes.where(open_).groupBy("g").agg(F.max(rank).alias("best"))
+        open_ = F.element_at(_array(room), (F.col("shard") + 1).cast("int")) >= F.col("smallest") if step % 2 else F.lit(True)
+        best = votes.withColumn("smallest", F.min("least").over(Window.partitionBy("g"))).where(open_).groupBy("g").agg(F.max(rank).alias("best"))
         now = votes.select("g", "shard", rank.alias("own"))
         asked = state.join(now, ["g", "shard"]).join(best, "g", "left")
         asked = asked.withColumn("moves", F.coalesce(F.col("best") > F.col("own"), F.lit(False))).withColumn("target", F.col("best.target"))
@@ -138,10 +170,25 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 4,
     # Texts are equal if their hash, checksum and size are.
     key = F.xxhash64("g", "text_crc32", "size")
     linked = rows.where("g IS NOT NULL").groupBy(key.alias("g"), "start").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    linked = linked.withColumn("all", F.sum("n").over(Window.partitionBy("g"))).where("all > 1").select("g", "start", "w", (F.col("all") <= TOGETHER).alias("small"))
-    placed = cut(propagate(cut(linked, "blocks"), quotas, rounds), "placed")
+    every = Window.partitionBy("g")
+    linked = linked.withColumn("all", F.sum("n").over(every)).withColumn("weight", F.sum("w").over(every)).where("all > 1")
+    linked = cut(linked.select("g", "start", "w", "all", "weight", (F.col("all") <= TOGETHER).alias("small"), (F.col("weight") * PART * shards >= total).alias("large")), "blocks")
+    large = [tuple(r) for r in linked.where("large").select("g", "weight", "all").distinct().collect()]  # PART a shard at most
+    pieces = _pieces(large, quotas)
+    room = list(quotas)
+    weights = {g: weight // n for g, weight, n in large}
+    for g, a, b, t in pieces:
+        room[t] -= (b - a) * weights[g]
+    placed = cut(propagate(linked.where("not large").select("g", "start", "w", "small"), room, rounds), "placed")
     load = _loads(placed.where("shard IS NOT NULL"), shards)
-    dealt = cut(rows.withColumn("g", F.when(F.col("g").isNotNull(), key)).join(placed.drop("w"), ["g", "start"], "left"), "dealt")
+    load = [n + q - r for n, q, r in zip(load, quotas, room, strict=True)]
+    named = rows.withColumn("g", F.when(F.col("g").isNotNull(), key))
+    names = F.broadcast(rows.sparkSession.createDataFrame([(g, n <= TOGETHER) for g, _, n in large], "g long, small boolean"))
+    ranges = F.broadcast(rows.sparkSession.createDataFrame(pieces, "g long, _from long, _to long, shard int"))
+    ranked = with_running(named.join(names, "g"), ["g"], ["doc_id", "start"], "_h", F.lit(1).cast("long"), max(1, count), "_rank")
+    ranked = ranked.join(ranges.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to")), "left").drop("_g", "_rank", "_from", "_to")
+    others = named.join(names.select("g"), "g", "left_anti").join(placed.drop("w"), ["g", "start"], "left")
+    dealt = cut(others.unionByName(ranked), "dealt")
     # What is left goes in a hashed order, in which small groups stand together.
     rest = dealt.where("shard IS NULL").drop("shard").withColumn("_o", F.when(F.col("small"), _hash31(F.col("g"), F.lit(5))).otherwise(F.col("_h")))
     loose = with_running(rest, [], ["g", "doc_id"], "_o", "w", max(1, count), "_sum")
