@@ -11,7 +11,8 @@ turns, in order, are adjacent bytes of a batch, and come out as parts of about P
 ranges.
 
 Defined results: a null text or role is empty; the null conversation id is a conversation; null turns come first. Turns
-that tie stand in the byte order of their formatted form. Repeated rows are turns of their own.
+that tie stand in the byte order of their formatted form. Repeated rows are turns of their own. An empty table gives an empty one. Columns other than the four
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import flat_bytes, map_batches, text_bytes
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 #: Bytes after which a part of a conversation ends with its turn.
 PART_BYTES = 1 << 20
+#: Bytes that are scattered at once.
+STEP = 1 << 20
 
 _TO_ESCAPE, _TO_RESTORE = re.compile(rb"<\\*\|"), re.compile(rb"<\\(\\*\|)")
 
@@ -69,14 +72,19 @@ def assemble(roles: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.nda
     text_at = offsets[:-1] + head_len
     text_end = text_at + lengths
     out[(text_end[:, None] + np.arange(len(END))).ravel()] = np.tile(np.frombuffer(END, np.uint8), n)
-    place = np.arange(len(flat)) + np.repeat(text_at - source[:-1], np.diff(source))
-    if len(cuts):
-        more = np.zeros(len(flat) + 1, np.int64)
-        more[cuts + 1] = 1
-        more = np.cumsum(more)[:-1]
-        place += more - np.repeat(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))[:-1], np.diff(source))
-        out[place[cuts] + 1] = ord("\\")
-    out[place] = flat
+    # Where each byte goes: in steps, so that one long text takes no more memory than its bytes and a step's places.
+    escaped = np.zeros(n + 1, np.int64)
+    np.cumsum(np.bincount(row, minlength=n), out=escaped[1:])
+    shift = text_at - source[:-1] - escaped[:-1]
+    for a in range(0, len(flat), STEP):
+        b = min(len(flat), a + STEP)
+        place = np.arange(a, b) + np.repeat(shift, np.diff(np.clip(source, a, b)))
+        low, high = np.searchsorted(cuts, (a, b))
+        more = np.zeros(b - a + 1, np.int64)
+        more[cuts[low:high] + 1 - a] = 1
+        place += np.cumsum(more)[:-1] + low
+        out[place] = flat[a:b]
+        out[place[cuts[low:high] - a] + 1] = ord("\\")
     return out, offsets, text_at, text_end
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows that one Arrow batch holds at most. Texts may be long, so batches stay short.
-BATCH_ROWS = 1000
+#: Bytes of a batch that are worked on at once, or one longer row: arrays of eight bytes for each of them stay small.
+BATCH_BYTES = 4 << 20
 #: Rows that one bucket of a running total holds on average.
 BUCKET_ROWS = 4096
 #: The words of a text are the runs of bytes outside this class. bytes.split() uses the same one.
@@ -72,16 +72,24 @@ def drop_cut(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._lodestone_path)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches short, unless the session sets its own size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `size` bytes at most, or of one longer row."""
+    size = BATCH_BYTES if size is None else size
+    for batch in batches:
+        stack = [batch]
+        while stack:
+            piece = stack.pop()
+            if len(piece) > 1 and piece.nbytes > size:
+                half = len(piece) // 2
+                stack += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    short_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over batches that are bounded by bytes. Spark itself bounds what it sends by
+    spark.sql.execution.arrow.maxBytesPerBatch."""
+    return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
