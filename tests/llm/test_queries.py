@@ -17,7 +17,7 @@ COLUMNS = {
     "op1_mixing": ["doc_id", "size", "source_size", "target", "taken"], "op2_decontamination": ["doc_id", "item_id"], "op3_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op4_quality_classifier": ["doc_id", "score", "kept"], "op5_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], "op6_html": ["page_id", "url", "text", "n_chars"],
     "op7_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "op8_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], "op9_simhash": ["doc_id", "fingerprint", "component_id"],
-    "op10_suffix": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op10_suffix": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "quality_ablation": ["rule", "n_failed", "n_failed_alone", "n_kept_without"],
 }
 
 
@@ -45,7 +45,7 @@ def result(spark, name):
     return df.toPandas()
 
 
-def test_ten_queries():
+def test_registered_queries():
     assert set(QUERIES) == set(COLUMNS) and set(SQL) <= set(QUERIES)
 
 

@@ -31,6 +31,11 @@ def test_assembly_is_reversible(turns):
     assert all(raw[a:b].count(b"<|") == 2 for a, b in zip(offsets, offsets[1:], strict=False))
 
 
+def test_assembly_in_steps(monkeypatch):
+    monkeypatch.setattr(chat, "STEP", 5)
+    test_assembly_is_reversible()
+
+
 def check_chat(spark, rows):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     by = defaultdict(list)
@@ -61,6 +66,14 @@ def test_chats(spark, monkeypatch):
     check_chat(spark, rows)
 
 
+def test_chats_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b<|im_end|>"), (2, 0, None, None)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = plain.selectExpr("*", *[f"'{n}' AS `{n}`" for n in ("segment", "part", "formatted", "loss_start", "n_turns", "row")])
+    result = lambda df: sorted(map(tuple, chat.digests(chat.format_chats(df)).collect()))
+    assert result(clashing) == result(plain) and len(result(plain)) == 2
+
+
 def test_no_chats(spark):
     assert chat.digests(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
@@ -147,6 +160,25 @@ def test_secrets(spark, odd_docs, no_docs):
     assert secrets.scan(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["token", "token1", "token=abcdefgh1 ", "bearer x ", "password" + " " * 40, "AKIAakia", "0a"])
+def test_long_runs_take_linear_time(piece):
+    import time
+
+    text, novelty = piece * (5_000_000 // len(piece)), secrets.Novelty()
+    start = time.perf_counter()
+    lower = text.lower()
+    secrets.novel(text, lower, secrets.patterns(text, lower), novelty)
+    assert time.perf_counter() - start < 10
+
+
+def test_dictionary_counts_documents(spark, no_docs):
+    docs = spark.createDataFrame([(1, "zebra zebra zebra apple"), (2, "Apple fooBar_apple"), (3, None), (4, "kilo apple")], "doc_id long, text string").repartition(3)
+    made = secrets.dictionary(docs, words=2).decode().split()
+    assert made[:2] == ["foobar", "apple"] or made[1] == "apple"
+    assert len(made) == 2 + len(secrets.IDENTIFIERS.split())
+    assert secrets.dictionary(no_docs).decode() == secrets.IDENTIFIERS
+
+
 def test_novel_strings_near_sensitive_words():
     r = random.Random(5)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
