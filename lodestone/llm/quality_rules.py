@@ -5,12 +5,12 @@ A policy is a named, versioned set of rules: which documents it keeps, and what
 rules, follows from the bits alone and never reads the texts again.
 
 Defined results: a null text counts as empty, and fails the word rules. Rows are independent, so repeated rows and
-ties each get their own. Columns of the input other than the id and the text don't matter, whatever their names.
+ties each get their own. Columns of the input other than the id and the text don't matter, whatever their names. An
+empty table has an empty ledger.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import flat_bytes, map_batches, sums, text_bytes
 
@@ -138,32 +139,19 @@ def ablation(entries: DataFrame, policy: Policy) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, policy: Policy = STRICT, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with their columns as they were: the verdict rides beside each row, so
-    nothing is joined by an id."""
+    """The rows of docs that the policy keeps, with their columns as they were. The ledger's entry rides beside each row,
+    so nothing is joined by an id, and the policy reads its bits."""
     schema = docs.schema
+    place = schema.fieldNames().index(text_col)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0)
-            texts = rows.field(schema.fieldNames().index(text_col))
-            own = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), texts], ["doc_id", "text"])
+            own = pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), rows.field(place)], ["doc_id", "text"])
             for found in _measure(iter([own])):
-                values = {k: found.column(k).to_numpy() for k in MEASURES}
-                bad = np.zeros(len(rows), bool)
-                for name in policy.rules:
-                    bad |= _fails(RULES[BITS[name]][1], values)
-                yield pa.RecordBatch.from_struct_array(rows.filter(pa.array(~bad)))
-
-    return map_batches(held, passed, schema)
-
-
-def _fails(condition: str, values: dict[str, np.ndarray]) -> np.ndarray:
-    parts = [re.fullmatch(r"(?:(\d+) \* )?(\w+) ([<>]) (?:(\d+) \* )?(\w+)", x).groups() for x in condition.split(" OR ")]
-    out = None
-    for a, x, op, b, y in parts:
-        left = int(a or 1) * values[x]
-        right = int(b or 1) * (int(y) if y.isdigit() else values[y])
-        hit = left < right if op == "<" else left > right
-        out = hit if out is None else out | hit
-    return out
+                yield pa.RecordBatch.from_arrays([rows, *found.columns[1:]], ["row", *MEASURES])
+
+    kind = T.StructType([T.StructField("row", schema), *(T.StructField(k, T.LongType()) for k in MEASURES)])
+    entries = map_batches(held, entered, kind).withColumn("failed", failure_bits())
+    return apply_policy(entries, policy).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in schema.fieldNames()])

@@ -41,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, from the ledger's bits."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.STRICT)
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat": op3_chat,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "quality_ablation": quality_ablation,
     "op6_html": op6_html,
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import RULES, STRICT
+from .quality_rules import BITS, RULES, STRICT
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,4 +49,9 @@ a AS (SELECT m.* EXCLUDE (words), coalesce(c.n, 0)::BIGINT AS n_repeat_words FRO
 b AS (SELECT *, ({_FAILED})::BIGINT AS failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed & {STRICT.mask} = 0 AS kept, failed FROM b"""
 
-SQL: dict[str, str] = {"op1_mixing": _OP1, "op3_chat": _OP3, "op5_quality_rules": _OP5}
+_LEDGER = _OP5[: _OP5.rindex("SELECT doc_id, n_words")]
+_ABLATION = _LEDGER + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER (WHERE failed & {1 << BITS[name]} <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE failed & {STRICT.mask} = {1 << BITS[name]})::BIGINT AS n_failed_alone, count(*) FILTER (WHERE failed & {STRICT.mask & ~(1 << BITS[name])} = 0)::BIGINT AS n_kept_without FROM b" for name in STRICT.rules
+)
+
+SQL: dict[str, str] = {"op1_mixing": _OP1, "op3_chat": _OP3, "op5_quality_rules": _OP5, "quality_ablation": _ABLATION}
