@@ -357,7 +357,17 @@ def test_views_teach_each_other():
     y = r.integers(0, 2, n)
     views = tuple((y[:, None] * 2.5 + r.normal(size=(n, 3))) for _ in range(2))
     few = tuple(v[:80] for v in views)
-    model = quality_classifier.co_train(few, y[:80], tuple(v[80:2080] for v in views))
+    pool = tuple(v[80:2080] for v in views)
+
+    def hand(models, taken):
+        out = []
+        for v in (0, 1):
+            odds = models[v].odds(pool[v])
+            at = [i for i in np.argsort(-np.abs(odds), kind="stable").tolist() if abs(odds[i]) > 3 and i not in taken[v]][:100]
+            out.append((tuple(p[at] for p in pool), (odds[at] > 0).astype(float), at))
+        return out
+
+    model = quality_classifier.co_train(few, y[:80], hand)
     assert sum(a + b for a, b in model.rounds) > 200
     text, meta, both = model.scores(tuple(v[2080:] for v in views))
     marks = y[2080:]
@@ -365,6 +375,43 @@ def test_views_teach_each_other():
     assert accuracy[2] >= max(accuracy[:2]) - 0.005 and accuracy[2] > 0.97
 
 
+def test_views_hand_on_documents_without_labels(spark, monkeypatch):
+    """Both views do, no labelled one, and equal ones once."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    seen, plain = [], quality_classifier._handed
+
+    def spied(pool, views, taken, sure, handed):
+        rows = plain(pool, views, taken, sure, handed)
+        seen.append([keys for _, _, keys in rows])
+        assert all(len(keys) <= 2 * handed and not taken[v] & set(keys) for v, keys in enumerate(seen[-1]))
+        return rows
+
+    monkeypatch.setattr(quality_classifier, "_handed", spied)
+    found = quality_classifier.features(docs.unionByName(docs)).repartition(5).persist()
+    model = quality_classifier.fit(found, labels, handed=50)
+    assert len(model.rounds) == len(seen) and all(sum(r[v] for r in model.rounds) >= 100 for v in (0, 1))
+    from xxhash import xxh64_intdigest
+
+    rows = found.join(labels.select("doc_id").distinct(), "doc_id").collect()
+    labelled = {xxh64_intdigest(r.text_x + r.meta_x) - (1 << 63) for r in rows}
+    free = {xxh64_intdigest(r.text_x + r.meta_x) - (1 << 63) for r in found.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").collect()}
+    for v in (0, 1):
+        keys = [k for r in seen for k in r[v]]
+        assert len(keys) == len(set(keys)) and set(keys) <= free and not set(keys) & (labelled - free)
+    found.unpersist()
+
+
+def test_each_view_ranks_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_classifier.score(docs, labels.where("doc_id % 3 <> 1")).join(labels.where("doc_id % 3 = 1"), "doc_id").collect()
+    for view in ("text_score", "meta_score", "score"):
+        pairs = [(a[view] > b[view]) + 0.5 * (a[view] == b[view]) for a in rows if a.quality for b in rows if not b.quality]
+        assert np.mean(pairs) > 0.9
+
+
 def test_classifier_without_labels_or_with_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id long, quality int")
     rows = quality_classifier.score(odd_docs, labels).collect()
