@@ -11,7 +11,8 @@ The law `rows` counts documents: shards differ by one at most. The law `bytes` c
 document.
 
 Defined results: a null text has no bytes and no link; an empty one links to other empty ones. Repeated rows are rows
-like any other. Fewer rows than shards leave the last ones empty.
+like any other. Fewer rows than shards leave the last ones empty; an empty table gives an empty one. Other columns than
+the id and the text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from .common import cut, drop_cut, null_safe_join, with_running
 
 #: Bytes that a document takes beside its text.
 HEADER = 16
-#: Rows up to which a group without a place is kept together.
-TOGETHER = 256
 #: Part of a shard from which on a group is placed before the others.
 PART = 8
 
@@ -118,7 +117,7 @@ def _pieces(groups: list[tuple[int, int, int]], quotas: list[int]) -> list[tuple
 
 
 def propagate(blocks: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """The blocks (g, start, w, more) with their shard, null for what found no place within the quotas.
+    """The blocks (g, start, w, all) with their shard, null for what found no place within the quotas.
 
     Every second round asks shards with room for the group's smallest block only, so a group goes on from a full shard to the next one. After `rounds`
     rounds it goes on while more of the groups' pairs come together; two rounds without a move end it before.
@@ -172,25 +171,27 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 4,
     linked = rows.where("g IS NOT NULL").groupBy(key.alias("g"), "start").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("g")
     linked = linked.withColumn("all", F.sum("n").over(every)).withColumn("weight", F.sum("w").over(every)).where("all > 1")
-    linked = cut(linked.select("g", "start", "w", "all", "weight", (F.col("all") <= TOGETHER).alias("small"), (F.col("weight") * PART * shards >= total).alias("large")), "blocks")
+    linked = cut(linked.select("g", "start", "w", "all", "weight", (F.col("weight") * PART * shards >= total).alias("large")), "blocks")
     large = [tuple(r) for r in linked.where("large").select("g", "weight", "all").distinct().collect()]  # PART a shard at most
     pieces = _pieces(large, quotas)
     room = list(quotas)
     weights = {g: weight // n for g, weight, n in large}
     for g, a, b, t in pieces:
         room[t] -= (b - a) * weights[g]
-    placed = cut(propagate(linked.where("not large").select("g", "start", "w", "small"), room, rounds), "placed")
+    placed = cut(propagate(linked.where("not large").select("g", "start", "w", "all"), room, rounds), "placed")
     load = _loads(placed.where("shard IS NOT NULL"), shards)
     load = [n + q - r for n, q, r in zip(load, quotas, room, strict=True)]
     named = rows.withColumn("g", F.when(F.col("g").isNotNull(), key))
-    names = F.broadcast(rows.sparkSession.createDataFrame([(g, n <= TOGETHER) for g, _, n in large], "g long, small boolean"))
+    names = F.broadcast(rows.sparkSession.createDataFrame([(g, n) for g, _, n in large], "g long, all long"))
     ranges = F.broadcast(rows.sparkSession.createDataFrame(pieces, "g long, _from long, _to long, shard int"))
     ranked = with_running(named.join(names, "g"), ["g"], ["doc_id", "start"], "_h", F.lit(1).cast("long"), max(1, count), "_rank")
     ranked = ranked.join(ranges.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to")), "left").drop("_g", "_rank", "_from", "_to")
     others = named.join(names.select("g"), "g", "left_anti").join(placed.drop("w"), ["g", "start"], "left")
     dealt = cut(others.unionByName(ranked), "dealt")
-    # What is left goes in a hashed order, in which small groups stand together.
-    rest = dealt.where("shard IS NULL").drop("shard").withColumn("_o", F.when(F.col("small"), _hash31(F.col("g"), F.lit(5))).otherwise(F.col("_h")))
+    # What is left goes in a hashed order, in which a group stands together: over as wide a part of it as is its share of all rows,
+    # so no range of the order holds more than its share, whatever a group's size.
+    spread = (F.col("_h") * F.col("all") / F.lit(max(1, count))).cast("long")
+    rest = dealt.where("shard IS NULL").drop("shard").withColumn("_o", F.coalesce(F.pmod(_hash31(F.col("g"), F.lit(5)) + spread, F.lit(1 << 31)), F.col("_h")))
     loose = with_running(rest, [], ["g", "doc_id"], "_o", "w", max(1, count), "_sum")
     at = F.col("_sum") - 1 if law == "rows" else F.col("_sum") - F.col("w") / 2
     ends, free = [], 0
