@@ -13,7 +13,8 @@ into pairs: all rows with one fingerprint are one node.
 
 Defined results: a null or empty text has no word and fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle. Repeated rows and rows with a null id each return a row; component_id is the least non-null id
-of the component, or null if it has none.
+of the component, or null if it has none. An empty table gives an empty one. Columns other than the id and the text don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, held_rows, map_batches, null_safe_join, one_each, text_bytes, unheld
+from .common import components, cut, map_batches, text_bytes
 
 SEGMENT = 32
 #: Members of a variant that are compared with each other; beyond it wider variants take over.
@@ -89,21 +90,21 @@ def _first_shared(seg: int, bit: int, x: np.ndarray) -> np.ndarray:
     return ~single & ((low == own) | ((low == 0) & (bit == 0)))
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: each round every component takes its first link to another one."""
-    label, kept_a, kept_b = np.arange(n), [a[:0]], [b[:0]]
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest: each round every component takes its first link to another one, so of links in
+    ascending order of weight those of a least one."""
+    label, kept, at = np.arange(n), [np.zeros(0, np.int64)], np.arange(len(a))
     while True:
         x, y = label[a], label[b]
         cross = x != y
         if not cross.any():
-            return np.concatenate(kept_a), np.concatenate(kept_b)
-        a, b, x, y = a[cross], b[cross], x[cross], y[cross]
+            return np.sort(np.concatenate(kept))
+        a, b, x, y, at = a[cross], b[cross], x[cross], y[cross], at[cross]
         first = np.full(n, len(a))
         np.minimum.at(first, x, np.arange(len(a)))
         np.minimum.at(first, y, np.arange(len(a)))
         taken = np.unique(first[first < len(a)])
-        kept_a.append(a[taken])
-        kept_b.append(b[taken])
+        kept.append(at[taken])
         root = np.arange(n)
         while True:
             fresh = root.copy()
@@ -127,9 +128,11 @@ def _links(reach: int):
             i, j = np.nonzero(np.triu((np.bitwise_count(x) <= reach) & _first_shared(seg, bit, x), 1))
             a, b = np.concatenate((a, i + at)), np.concatenate((b, j + at))
             if len(a) > 4 * len(fps):
-                a, b = _forest(len(fps), a, b)
+                kept = forest(len(fps), a, b)
+                a, b = a[kept], b[kept]
         if len(fps) > FEW and len(a) >= len(fps):
-            a, b = _forest(len(fps), a, b)
+            kept = forest(len(fps), a, b)
+            a, b = a[kept], b[kept]
         return fps[a], fps[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,25 +231,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = nodes.join(linked.withColumnRenamed("component_id", "_c"), "fp", "left").select("fp", F.coalesce("_c", "least").alias("component_id"))
     # Written first: both sides of the join are plain shuffles then, of which Spark splits a fingerprint with many copies.
     return rows.join(cut(classes, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, reach: int = 3) -> DataFrame:
-    """The rows of docs with one left of each group of near-duplicates, columns as they were: the one with the least id
-    (null last), and among rows of that id the least by a hash of the whole row. Of rows that agree in all columns one
-    stays."""
-    held = held_rows(docs, id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(x, shingle) for x in text_bytes(batch.column(2))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["_id", "_hash", "fp"])
-
-    rows = cut(map_batches(held.select("_id", "_hash", F.col(f"row.`{text_col}`").alias("text")), run, "_id long, _hash long, fp long"), "fingerprints")
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_hash"))
-    nodes = cut(rows.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    found = components(links(nodes, reach)).withColumnRenamed("node", "fp")
-    linked = nodes.join(found, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    best = linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._id").alias("_id"), F.col("least._hash").alias("_hash")).distinct()
-    names = rows.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
-    best = cut(null_safe_join(best, names, ["_id", "_hash"]), "kept")
-    return unheld(one_each(held, best), docs.schema)

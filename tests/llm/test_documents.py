@@ -259,24 +259,6 @@ def test_links_lose_nothing(spark, monkeypatch, reach, hot):
     assert [find(i) for i in range(len(fps))] == brute.classes(fps, reach)
 
 
-def test_one_of_each_group_stays(spark, odd_docs, no_docs):
-    for docs in (documents(spark), odd_docs):
-        kept = simhash.keep_one(docs, shingle=5, reach=3)
-        assert kept.columns == docs.columns
-        texts = docs.collect()
-        fps = sorted({brute.fingerprint(t.text, 5) for t in texts})
-        label = dict(zip(fps, brute.classes(fps, 3), strict=True))
-        least = {}
-        for t in texts:
-            k = label[brute.fingerprint(t.text, 5)]
-            key = (t.doc_id is None, t.doc_id or 0)
-            least[k] = min(least.get(k, key), key)
-        got = kept.collect()
-        assert Counter(label[brute.fingerprint(t.text, 5)] for t in got) == Counter(label.values()) if len(fps) == len(set(label.values())) else len(got) == len(set(label.values()))
-        assert Counter((t.doc_id is None, t.doc_id or 0) for t in got) == Counter(least.values())
-    assert simhash.keep_one(no_docs).count() == 0
-
-
 # Repeated strings.
 
 
