@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs that a sparse gram spans at most, sparse grams of one text, and grams that cover a literal.
-MAX_SPAN, MAX_GRAMS, MAX_COVERING = 24, 40_000, 12
+#: Pairs that a sparse gram spans at most, and grams that cover a literal.
+MAX_SPAN, MAX_COVERING = 24, 12
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -87,9 +87,9 @@ class Rarity:
         return self._table[(b[:-1] << 8) | b[1:]] if len(b) >= 2 else np.zeros(0, np.int64)
 
 
-def sparse_spans(content: bytes, rarity: Rarity, limit: int = MAX_GRAMS) -> list[tuple[int, int, int]]:
+def sparse_spans(content: bytes, rarity: Rarity) -> list[tuple[int, int, int]]:
     """(start, end, score) of the sparse grams: windows whose first and last pair are both rarer than all between, in the
-    order of their start and then end, each text once, `limit` at most."""
+    order of their start and then end, each text once. All of them, so no document is missed by a gram that stands late in it."""
     w = rarity.weights(content)
     found = []
     if len(w) >= 2:
@@ -108,8 +108,6 @@ def sparse_spans(content: bytes, rarity: Rarity, limit: int = MAX_GRAMS) -> list
             if (gram := content[a:b]) not in seen:
                 seen.add(gram)
                 out.append((a, b, score))
-                if len(out) >= limit:
-                    break
     return out
 
 
@@ -132,12 +130,9 @@ def covering_ngrams(literal: bytes, rarity: Rarity, limit: int = MAX_COVERING) -
 
 
 def index_hashes(content: bytes, rarity: Rarity) -> np.ndarray:
-    """Hashes of a text's windows of three bytes, and of its sparse grams up to MAX_GRAMS hashes in all."""
+    """Hashes of a text's windows of three bytes, and of its sparse grams."""
     found = {gram_hash(unpack_trigram(g)) for g in pack_trigrams(content)}
-    for a, b, _ in sparse_spans(content, rarity):
-        if len(found) >= MAX_GRAMS:
-            break
-        found.add(gram_hash(content[a:b]))
+    found.update(gram_hash(content[a:b]) for a, b, _ in sparse_spans(content, rarity))
     return np.array(sorted(found), np.int64)
 
 

@@ -14,10 +14,12 @@ from ..errors import InvalidRequest, RebuildAlreadyRunning
 from ..sources.corpus import Corpus, from_files, git_head
 from ..sources.paths import relative_path
 from . import index as ix
-from .overlay import Overlay, classified, outcome_counts
+from .overlay import Overlay, classified, not_held, outcome_counts
 from .search import HashSearchOptions, SearchOptions, SearchResult, Sources, hash_search, hot_search, literal_search, regex_search
 
 HOT_DOCUMENTS = 128
+#: Candidates that an answer lists at most; their number is always whole.
+LISTED = 10_000
 
 
 @dataclass(frozen=True)
@@ -48,13 +50,15 @@ class HotDocuments:
 
 
 class Engine:
-    """open_corpus makes the current corpus; it is called again by each rebuild. Without index_root the index isn't stored."""
+    """open_corpus makes the current corpus; it is called again by each rebuild. Without index_root the index isn't stored, and
+    the overlay ends with the session."""
 
     def __init__(self, spark: SparkSession, open_corpus: Callable[[], Corpus], index_root: str | None = None, auto_index: bool = True) -> None:
         self.spark, self._open, self._root = spark, open_corpus, index_root
         self._lock, self._running, self._failure = threading.Lock(), False, None
-        self.overlay, self.hot = Overlay(spark), HotDocuments()
+        self.hot = HotDocuments()
         corpus = open_corpus()
+        self.overlay = Overlay(spark, f"{index_root.rstrip('/')}/overlay/repo_id={ix.repo_id(corpus.name)}" if index_root else None)
         self._base = _Base(corpus, self._indexed(corpus, False) if auto_index else None, 1)
 
     @classmethod
@@ -109,15 +113,17 @@ class Engine:
         fresh = current == base.corpus.version and not dirty
         return {"base_commit": base.corpus.version, "current_commit": current, "repo_id": ix.repo_id(base.corpus.name), "freshness": "fresh" if fresh else "stale", "overlay_dirty_files": dirty, "rebuild_state": state, "indexed_docs": base.corpus.meta.count(), "base_generation": base.generation}
 
-    def index_update_files(self, changed: Sequence[str] | DataFrame) -> dict:
-        """Paths below the workspace, whose contents are read now; or a table (path, content, is_file)."""
+    def index_update_files(self, changed: Sequence[str] | DataFrame, batch: int | None = None) -> dict:
+        """Paths below the workspace, whose contents are read now; or a table (path, content, is_file), perhaps with a sequence that
+        orders changes of one path. batch: see Overlay.append."""
         rows = changed if isinstance(changed, DataFrame) else self._read(changed)
-        found = classified(rows).persist()
+        found = classified(rows)
+        kept = found.where("outcome <> 'skipped'").select("path", "op", "content", *(["sequence"] if "sequence" in found.columns else []))
         counts = outcome_counts(found).first().asDict()
-        if counts["updated"] + counts["deleted"]:
-            with self._lock:
-                self.overlay.append(found.where("outcome <> 'skipped'").select("path", "op", "content"))
-        return counts | {"generation": self.overlay.generation}
+        with self._lock:
+            if counts["updated"] + counts["deleted"]:
+                self.overlay.append(kept, batch)
+            return counts | {"generation": self.overlay.generation}
 
     def index_rebuild(self, mode: str = "background") -> dict:
         if mode not in ("foreground", "background"):
@@ -134,22 +140,31 @@ class Engine:
             try:
                 self._rebuild()
             except Exception as e:
-                self._failure = str(e)[:500]
+                with self._lock:
+                    self._failure = str(e)[:500]
             finally:
-                self._running = False
+                with self._lock:
+                    self._running = False
 
         self._thread = threading.Thread(target=run, daemon=True)
         self._thread.start()
         return {"mode": mode, "doc_count": self._base.corpus.meta.count(), "posting_count": 0}
 
     def _rebuild(self) -> None:
-        """A new snapshot takes the place of the old one at once; changes that it holds leave the overlay."""
-        seen = len(self.overlay._changes)
+        """A new snapshot takes the place of the old one at once; changes that it holds leave the overlay, others stay."""
+        with self._lock:
+            seen, before = self.overlay.generation, None if self.overlay.empty else self.overlay._all()
         corpus = self._open()
         index = self._indexed(corpus, True)
+        left = None if before is None else not_held(before, corpus.docs, corpus.live).persist()
+        if left is not None:
+            left.count()  # outside the lock
         with self._lock:
             self._base = _Base(corpus, index, self._base.generation + 1)
-            self.overlay._changes = self.overlay._changes[seen:]
+            if left is not None:
+                self.overlay.replace(left, seen)
+        if left is not None:
+            left.unpersist()
 
     def _read(self, paths: Sequence[str]) -> DataFrame:
         """Contents of a list of files as long as the request."""
@@ -179,8 +194,9 @@ class Engine:
     @staticmethod
     def _response(result: SearchResult, base: int, overlay: int, listed: bool) -> dict:
         mode = result.options.return_mode
-        listed = listed or mode != "matches"
         count = result._within(result.candidate_count)
-        ids = [r[0] for r in result.candidate_ids().collect() if r[0] is not None] if listed and mode != "count" else []
-        paths = [r[0] for r in result.candidate_paths().collect()] if listed and mode != "count" else []
+        ids, paths = [], []
+        if (listed or mode != "matches") and mode != "count":
+            ids = [r[0] for r in result._within(lambda: result.candidate_ids().limit(LISTED).collect())]
+            paths = [r[0] for r in result._within(lambda: result.candidate_paths().limit(LISTED).collect())]
         return {"matches": [r.asDict() for r in result.rows], "candidate_count": count, "used_fallback": result.plan.used_fallback, "extracted_literals": list(result.plan.literals), "base_generation": base, "overlay_generation": overlay, "candidate_doc_ids": ids, "candidate_paths": paths, "return_mode": mode}

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..errors import CorruptIndex
 from ..functions.grams import Rarity, bigram_frequency, gram_hash, hash_column, sparse_column, trigrams, unpack_trigram
 from ..sources.corpus import Corpus
+from ..sources.store import exists
 
-TABLES = ("meta", "postings", "folded", "hashes", "bigrams")
+TABLES = ("meta", "postings", "folded", "hashes", "bigrams", "counts")
 
 
 def repo_id(name: str) -> str:
@@ -23,14 +24,25 @@ def repo_id(name: str) -> str:
 @dataclass(frozen=True)
 class Index:
     """meta (doc_id, path, size, mtime_secs, indexed), postings and folded (gram, doc_id), hashes (hash, doc_id),
-    bigrams (key, freq)."""
+    bigrams (key, freq), counts (gram, folded, n): the documents of each gram. A stored index knows its documents and their bytes."""
 
     meta: DataFrame
     postings: DataFrame
     folded: DataFrame
     hashes: DataFrame
     bigrams: DataFrame
+    counts: DataFrame
     doc_count: int | None = None
+    doc_bytes: int | None = None
+
+    def size(self) -> tuple[int, int]:
+        """Bytes and number of the documents."""
+        if self.doc_count is not None and self.doc_bytes is not None:
+            return self.doc_bytes, self.doc_count
+        return tuple(self.meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first())
+
+    def gram_counts(self, folded: bool) -> DataFrame:
+        return self.counts.where(F.col("folded") == folded).select("gram", "n")
 
     def grams(self, folded: bool) -> DataFrame:
         return self.folded if folded else self.postings
@@ -64,7 +76,13 @@ def build(corpus: Corpus, long_grams: bool = True) -> Index:
     if long_grams:
         rarity = Rarity.of(bigrams)
         hashes = docs.select("doc_id", F.explode(hash_column(F.col("content"), rarity)).alias("hash")).select("hash", "doc_id")
-    return Index(corpus.meta, postings, postings_of(docs, True), hashes, bigrams)
+    folded = postings_of(docs, True)
+    return Index(corpus.meta, postings, folded, hashes, bigrams, counts_of(postings, folded))
+
+
+def counts_of(postings: DataFrame, folded: DataFrame) -> DataFrame:
+    one = lambda p, f: p.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).select("gram", F.lit(f).alias("folded"), "n")
+    return one(postings, False).unionByName(one(folded, True))
 
 
 def sparse_table(corpus: Corpus, bigrams: DataFrame | None = None) -> DataFrame:
@@ -89,8 +107,12 @@ def write(index: Index, root: str, corpus: Corpus) -> str:
     for name, key in (("postings", "gram"), ("folded", "gram"), ("hashes", "hash")):
         getattr(index, name).repartitionByRange(key).sortWithinPartitions(key, "doc_id").write.parquet(f"{home}/{name}")
     index.bigrams.coalesce(1).sortWithinPartitions("key").write.parquet(f"{home}/bigrams")
+    # From the written tables: 2 ** 24 grams of each kind at most.
+    grams = counts_of(*(spark.read.parquet(f"{home}/{t}") for t in ("postings", "folded")))
+    grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{home}/counts")
+    size = spark.read.parquet(f"{home}/meta").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     counts = {t: spark.read.parquet(f"{home}/{t}").count() for t in TABLES}
-    manifest = spark.range(1).select(F.lit(home).alias("home"), F.current_timestamp().alias("written"), *[F.lit(n).cast("long").alias(t) for t, n in counts.items()])
+    manifest = spark.range(1).select(F.lit(home).alias("home"), F.current_timestamp().alias("written"), F.lit(size).cast("long").alias("bytes"), *[F.lit(n).cast("long").alias(t) for t, n in counts.items()])
     manifest.coalesce(1).write.mode("append").parquet(f"{_home(root, corpus)}/manifest")
     return home
 
@@ -98,9 +120,7 @@ def write(index: Index, root: str, corpus: Corpus) -> str:
 def load(spark: SparkSession, root: str, corpus: Corpus) -> Index | None:
     """The version finished last; None if there is none; CorruptIndex if its tables aren't what the manifest says."""
     path = f"{_home(root, corpus)}/manifest"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return None
     try:
         last = spark.read.parquet(path).orderBy(F.desc("written")).first()
@@ -110,7 +130,7 @@ def load(spark: SparkSession, root: str, corpus: Corpus) -> Index | None:
         raise CorruptIndex(f"{path}: {str(e)[:200]}") from e
     if wrong:
         raise CorruptIndex(f"{last['home']}: {', '.join(wrong)} differ from the manifest")
-    return Index(*(tables[t] for t in TABLES), doc_count=last["meta"])
+    return Index(*(tables[t] for t in TABLES), doc_count=last["meta"], doc_bytes=last["bytes"])
 
 
 def load_or_build(root: str, corpus: Corpus) -> Index:

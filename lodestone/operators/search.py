@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -23,6 +24,8 @@ MAX_RESULTS = 200
 MODES = ("matches", "ids", "paths", "count")
 #: Bytes of a corpus from which the index may pay; below, one scan is cheaper than a second stage.
 AUTO_INDEX_BYTES = 4 << 30
+#: Documents from which a limited search goes through them in parts by id; the first is this share of them, each next one twice the last.
+EARLY_DOCS, FIRST_PART = 1 << 16, 64
 
 
 @dataclass(frozen=True)
@@ -89,7 +92,8 @@ class SearchResult:
     matches: DataFrame | None
     plan: QueryPlan
     options: SearchOptions
-    _found: dict = field(default_factory=dict, compare=False)
+    #: Makes the matches in parts, in their order, each with at most a given number.
+    parts: Callable[[], Iterator[Callable[[int], DataFrame]]] | None = field(default=None, compare=False)
 
     def candidate_count(self) -> int:
         return self.candidates.count()
@@ -102,7 +106,18 @@ class SearchResult:
 
     @cached_property
     def rows(self) -> list:
-        return self._within(lambda: self.matches.collect()) if self.matches is not None else []
+        """The matches; with a limit, no more documents are read than part by part are needed to reach it."""
+        if self.matches is None:
+            return []
+        return self._within(self._read if self.parts is not None else self.matches.collect)
+
+    def _read(self) -> list:
+        out: list = []
+        for part in self.parts():
+            out += part(self.options.limit - len(out)).collect()
+            if len(out) >= self.options.limit:
+                break
+        return out
 
     def _within(self, action):
         """Run an action; its jobs are cancelled at the deadline."""
@@ -139,11 +154,11 @@ def _with_index(sources: Sources, plan: QueryPlan, use_index: str) -> bool:
         return False
     if use_index == "always":
         return True
-    size, n = sources.index.meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    return size >= AUTO_INDEX_BYTES and cand.rarest(sources.index.grams(plan.folded), plan) <= cand.SELECTIVE * n
+    size, n = sources.index.size()
+    return size >= AUTO_INDEX_BYTES and cand.rarest(sources.index.gram_counts(plan.folded), plan) <= cand.SELECTIVE * n
 
 
-def _candidates(sources: Sources, plan: QueryPlan, options: SearchOptions) -> tuple[DataFrame, DataFrame | None]:
+def _candidates(sources: Sources, plan: QueryPlan, options: SearchOptions, indexed: bool) -> tuple[DataFrame, DataFrame | None]:
     """Documents with content that the plan admits: of the base, and of the overlay.
 
     The grams come from the index or, without it, from the texts as they are scanned: the same documents either way.
@@ -151,7 +166,7 @@ def _candidates(sources: Sources, plan: QueryPlan, options: SearchOptions) -> tu
     base, changed = sources.base(options.filter), sources.changed(options.filter)
     if plan.kind != "all":
         grams = lambda c: cand.admitted(trigrams(c, plan.folded), plan)
-        if _with_index(sources, plan, options.use_index):
+        if indexed:
             hit = cand.by_plan(sources.index.grams(plan.folded), plan)
             ids = hit.unionByName(sources.index.meta.where("NOT indexed").select("doc_id"))
             base = base.join(ids, "doc_id", "left_semi")
@@ -179,6 +194,28 @@ def located_matches(base: DataFrame, changed: DataFrame | None, found: Column, l
     return (rows if limit is None else rows.limit(limit)).select("path", "byte_offset", "end_offset", "line", "column", "snippet")
 
 
+def _parts(docs: DataFrame, base: DataFrame, changed: DataFrame | None, found: Column, limit: int | None) -> Callable | None:
+    """located_matches() by ranges of ids, and the overlay's last."""
+    if limit is None:
+        return None
+
+    def made() -> Iterator[Callable[[int], DataFrame]]:
+        low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+        if n < EARLY_DOCS:
+            yield lambda left: located_matches(base, changed, found, left)
+            return
+        step, start, own = max(1, (high - low + 1) // FIRST_PART), None, F.col("doc_id")
+        while start is None or start <= high:
+            end = low + step if start is None else start + step
+            within = own.isNull() | (own < end) if start is None else own >= start if end > high else (own >= start) & (own < end)
+            yield lambda left, within=within: located_matches(base.where(within), None, found, left)
+            start, step = end, 2 * step
+        if changed is not None:
+            yield lambda left: located_matches(base.where(F.lit(False)), changed, found, left)
+
+    return made
+
+
 def _verifiable(base: DataFrame, changed: DataFrame | None, plan: QueryPlan, prefilter: bool) -> tuple[DataFrame, DataFrame | None]:
     """Only texts with the required strings reach Python."""
     if not prefilter:
@@ -188,15 +225,17 @@ def _verifiable(base: DataFrame, changed: DataFrame | None, plan: QueryPlan, pre
 
 
 def _searched(sources: Sources, plan: QueryPlan, options: SearchOptions, found: Column) -> SearchResult:
-    base, changed = _candidates(sources, plan, options)
-    matches = None
+    indexed = _with_index(sources, plan, options.use_index)
+    base, changed = _candidates(sources, plan, options, indexed)
+    matches = parts = None
     if options.return_mode == "matches":
-        if _with_index(sources, plan, options.use_index):
+        if indexed:
             texts = _verifiable(base, changed, plan, True)
         else:  # the scan verifies at once: grams of the text would cost more than the pattern
             texts = _verifiable(sources.base(options.filter), sources.changed(options.filter), plan, True)
         matches = located_matches(*texts, found, options.limit)
-    return SearchResult(_listed(base, changed), matches, plan, options)
+        parts = _parts(sources.corpus.docs if sources.index is None else sources.index.meta, *texts, found, options.limit)
+    return SearchResult(_listed(base, changed), matches, plan, options, parts)
 
 
 def regex_search(sources: Sources, pattern: str, options: SearchOptions = SearchOptions()) -> SearchResult:

@@ -56,11 +56,11 @@ def hashes_admitted(hashes: Column, wanted: list[int], logic: str) -> Column:
     return F.size(F.array_except(own, hashes)) == 0 if logic == "and" else F.arrays_overlap(own, hashes)
 
 
-def rarest(postings: DataFrame, plan: QueryPlan) -> int:
-    """An upper bound of the documents that the plan admits: the rarest gram's number of each branch, added up."""
+def rarest(counts: DataFrame, plan: QueryPlan) -> int:
+    """An upper bound of the documents that the plan admits, from (gram, n): the rarest gram's number of each branch, added up."""
     wanted = {int(g) for grams in plan.grams for g in grams}
-    counts = {r["gram"]: r["n"] for r in postings.where(_in("gram", wanted)).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sum(min(counts.get(g, 0) for g in grams) for grams in plan.grams)
+    found = {r["gram"]: r["n"] for r in counts.where(_in("gram", wanted)).collect()}  # one row for each gram of the pattern
+    return sum(min(found.get(g, 0) for g in grams) for grams in plan.grams)
 
 
 def required_bytes(content: Column, plan: QueryPlan) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .paths import not_guarded, not_skipped, relative_path
+from .store import scratch
 
 #: Larger documents are searched but not indexed.
 MAX_FILE_BYTES = 2 << 20
@@ -21,6 +22,8 @@ class Corpus:
     docs: DataFrame
     name: str
     version: str = "NO_VERSION"
+    #: Whether contents are read where they change, each time anew.
+    live: bool = False
 
     @property
     def meta(self) -> DataFrame:
@@ -41,10 +44,13 @@ def from_table(df: DataFrame, doc_id: Column, path: Column, text: Column, name:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Replace doc_id by the rank of the path in byte order, from 0: a range sort, and one number per partition to add."""
+    """Replace doc_id by the rank of the path in byte order, from 0: a range sort, and one number per partition to add. The
+    sorted paths are written, so a lost executor can't sort them into other ranges."""
     from pyspark.sql.window import Window
 
-    ranged = docs.select("path").repartitionByRange("path").withColumn("_pid", F.spark_partition_id()).persist()
+    home = scratch(docs.sparkSession)
+    docs.select("path").repartitionByRange("path").withColumn("_pid", F.spark_partition_id()).write.parquet(home)
+    ranged = docs.sparkSession.read.schema("path string, _pid int").parquet(home)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"))
     ids = ranged.join(F.broadcast(counts), "_pid").select("path", (F.row_number().over(Window.partitionBy("_pid").orderBy("path")) - 1 + F.col("_before")).cast("long").alias("doc_id"))
@@ -59,7 +65,7 @@ def from_files(spark: SparkSession, root: str, commit: str | None = None, max_fi
     listed = git_files(root, commit) if commit else []
     docs = docs.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi") if listed else docs.where(not_skipped(F.col("path")))
     docs = numbered(_classified(docs.where(not_guarded(F.col("path"))), max_file_bytes))
-    return Corpus(docs.select("doc_id", "path", "content", "size", "mtime_secs", "indexed"), root, commit or "NO_VERSION")
+    return Corpus(docs.select("doc_id", "path", "content", "size", "mtime_secs", "indexed"), root, commit or "NO_VERSION", True)
 
 
 def git_files(root: str, commit: str) -> list[str]:

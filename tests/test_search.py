@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import CorruptIndex, InvalidRequest, SearchTimeout
 from lodestone.functions.dialect import compile_pattern
-from lodestone.functions.grams import gram_hash, pack_trigrams, unpack_trigram
+from lodestone.functions.grams import Rarity, gram_hash, pack_trigrams, sparse_ngrams, unpack_trigram
 from lodestone.functions.positions import match_spans
 from lodestone.operators import index as ix
 from lodestone.operators import server
 from lodestone.operators.engine import Engine, HotDocuments
+from lodestone.operators.overlay import Overlay
 from lodestone.operators.search import HashSearchOptions, SearchOptions, Sources, hash_search, literal_search, regex_search
 from lodestone.operators.synthetic import PATTERNS, candidate_reduction, expected, percentile, report, synthetic
 from lodestone.sources.corpus import from_files, from_table
@@ -254,11 +255,97 @@ def test_server(spark, corpus):
 def test_streamed_changes(spark, corpus, tmp_path):
     from lodestone.streaming.ingest import ingest_changes
 
-    engine = Engine(spark, lambda: corpus)
+    engine = Engine(spark, lambda: corpus, str(tmp_path / "index"))
     arrivals = tmp_path / "in"
-    spark.createDataFrame([("new.txt", "brand new text"), ("src/b.txt", None)], "path string, content string").write.parquet(str(arrivals))
-    stream = spark.readStream.schema("path string, content string").parquet(str(arrivals))
-    query = ingest_changes(engine, stream, str(tmp_path / "cp"), str(tmp_path / "store"), availableNow=True)
-    query.awaitTermination(120)
-    assert [m["path"] for m in engine.regex_search("brand new")["matches"]] == ["new.txt"]
+    spark.createDataFrame([("new.txt", "brand old text", 1), ("new.txt", "brand new text", 2), ("src/b.txt", None, 1)], "path string, content string, sequence long").repartition(3).write.parquet(str(arrivals))
+
+    def ingest(engine, checkpoint):
+        stream = spark.readStream.schema("path string, content string, sequence long").parquet(str(arrivals))
+        ingest_changes(engine, stream, str(tmp_path / checkpoint), availableNow=True).awaitTermination(120)
+
+    ingest(engine, "cp")
+    assert [m["snippet"] for m in engine.regex_search("brand")["matches"]] == ["brand new text"]
     assert engine.regex_search("another")["matches"] == []
+    # After a restart the changes are there; a batch that comes again isn't taken in twice.
+    later = Engine(spark, lambda: corpus, str(tmp_path / "index"))
+    assert [m["path"] for m in later.regex_search("brand new")["matches"]] == ["new.txt"]
+    ingest(later, "cp2")
+    assert later.overlay.generation == 1
+
+
+def changes(spark, *rows):
+    return spark.createDataFrame([(p, None if c is None else bytearray(c.encode()), True) for p, c in rows], "path string, content binary, is_file boolean")
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_a_rebuild_keeps_what_the_corpus_lacks(spark, tmp_path, stored):
+    texts = {"a.txt": "old", "b.txt": "beta", "c.txt": "gamma"}
+    engine = Engine(spark, lambda: corpus_of(spark, texts), str(tmp_path / "index") if stored else None)
+    engine.index_update_files(changes(spark, ("a.txt", "changed"), ("b.txt", "beta two"), ("c.txt", None)))
+    texts |= {"b.txt": "beta two"}  # the new corpus has one of them
+    engine.index_rebuild("foreground")
+    paths = lambda e, pattern: [m["path"] for m in e.regex_search(pattern)["matches"]]
+    for e in (engine, Engine(spark, lambda: corpus_of(spark, texts), str(tmp_path / "index"))) if stored else (engine,):
+        assert paths(e, "changed") == ["a.txt"] and paths(e, "old") == paths(e, "gamma") == [] and paths(e, "beta two") == ["b.txt"]
+        assert e.index_status()["overlay_dirty_files"] == 2
+    texts |= {"a.txt": "changed"}
+    del texts["c.txt"]
+    engine.index_rebuild("foreground")
+    assert engine.index_status()["freshness"] == "fresh" and paths(engine, "changed") == ["a.txt"]
+    engine.index_update_files(changes(spark, ("d.txt", "delta")))
+    assert engine.overlay.generation == 2 and paths(engine, "delta") == ["d.txt"]
+    engine.overlay.tidy()
+    assert paths(engine, "delta") == ["d.txt"]
+
+
+def test_overlay_generations(spark, tmp_path):
+    for store in (None, str(tmp_path / "overlay")):
+        overlay = Overlay(spark, store)
+        for i in range(1, 20):  # more than TABLES: merged on the way
+            overlay.append(changes(spark, ("a", f"text {i}"), (f"p{i}", "x")).selectExpr("path", "'modified' AS op", "content"))
+        assert len(overlay._changes) < 18 and overlay.generation == 19
+        for g in (1, 4, 18, 19):
+            rows = {r.path: bytes(r.content).decode() for r in overlay.snapshot(g).collect()}
+            assert rows == {"a": f"text {g}"} | {f"p{i}": "x" for i in range(1, g + 1)}
+    again = Overlay(spark, str(tmp_path / "overlay"))
+    assert again.generation == 19 and again.snapshot().count() == 20
+    again.tidy()
+    assert Overlay(spark, str(tmp_path / "overlay")).snapshot().count() == 20
+    same = Overlay(spark)
+    same.append(spark.createDataFrame([("a", "modified", "first", 1), ("a", "deleted", None, 2), ("b", "deleted", None, 1), ("b", "modified", "last", 2)], "path string, op string, content string, sequence long"))
+    assert {r.path: r.op for r in same.snapshot().collect()} == {"a": "deleted", "b": "modified"}
+
+
+def test_limits_read_in_parts(spark, monkeypatch):
+    from lodestone.operators import search
+
+    texts = {f"d{i:03}.txt": "needle " * (i % 3) + ("rare" if i == 70 else "") for i in range(90)}
+    corpus = corpus_of(spark, texts)
+    overlay = Overlay(spark)
+    overlay.append(changes(spark, ("d001.txt", "needle new"), ("zz.txt", "needle")).selectExpr("path", "'modified' AS op", "content"))
+    for sources in (Sources(corpus), Sources(corpus, ix.build(corpus, False), overlay.snapshot())):
+        for pattern, limit in (("needle", 1), ("needle", 7), ("needle", 88), ("needle", 500), ("rare", 5), ("nothing", 5)):
+            options = SearchOptions(max_results=limit, use_index="never" if sources.index is None else "always")
+            whole = [tuple(r) for r in regex_search(sources, pattern, options).rows]
+            monkeypatch.setattr(search, "EARLY_DOCS", 1)
+            result = regex_search(sources, pattern, options)
+            assert [tuple(r) for r in result.rows] == whole
+            monkeypatch.undo()
+    monkeypatch.setattr(search, "EARLY_DOCS", 1)
+    result, made = regex_search(Sources(corpus), "needle", SearchOptions(max_results=1)), []
+    plain = result.parts
+    object.__setattr__(result, "parts", lambda: (made.append(1) or part for part in plain()))
+    assert len(result.rows) == 1 and len(made) < 4
+
+
+def test_late_grams_are_found(spark):
+    """A sparse gram at the end of a text with tens of thousands of grams."""
+    import random
+
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60_000)) + "#@!~^"
+    corpus = corpus_of(spark, {"long.txt": text, "b.txt": "short"})
+    index = ix.build(corpus)
+    last = max(sparse_ngrams(text.encode(), Rarity.of(index.bigrams))[-3:], key=len)
+    result = hash_search(Sources(corpus, index), [gram_hash(last)], "and", HashSearchOptions(return_mode="paths"))
+    assert [x.path for x in result.candidate_paths().collect()] == ["long.txt"]
