@@ -55,12 +55,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
+def cut(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there, lost executors cost nothing
     that came before, and later jobs don't compute it again. It stays until the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(drop_path, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lodestone_path = path
@@ -92,6 +92,34 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
 
 
+class Bitmap:
+    """Bits at `probes` places of each of a table's longs, which shows most others not to be among them. The bits are put
+    together in Spark, 4 KiB a row; their number follows that of the longs and ends at MOST: 32 MiB, whatever the table's size."""
+
+    LEAST, MOST = 1 << 18, 1 << 28
+
+    def __init__(self, values: DataFrame, column: str, each: int, shifts: Callable[[int], Sequence[int]]) -> None:
+        bits = self.LEAST
+        wanted = each * values.count()
+        while bits < min(wanted, self.MOST):
+            bits *= 2
+        self.shifts = list(shifts(bits))
+        places = F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) + 1 for s in self.shifts]))
+        rows = values.select(places.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+        table = np.zeros((bits >> 15, 4096), np.uint8)
+        for k, part in rows:
+            table[k - 1] = np.frombuffer(part, np.uint8)
+        self.table = table.ravel()
+
+    def passing(self, values: np.ndarray) -> np.ndarray:
+        """Places of the values (unsigned longs) that may be among the table's."""
+        spots, mask = np.arange(len(values)), 8 * len(self.table) - 1
+        for s in self.shifts:
+            bit = (values[spots] >> np.uint64(s)).astype(np.int64) & mask
+            spots = spots[self.table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
+        return spots
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

@@ -5,7 +5,7 @@ at each place of the benchmark's items are hashed, and so are those of the docum
 an item and a diagonal, along which the texts are then compared token by token: substitutions cost two matches each, and a
 stretch whose score reaches MIN_SCORE, or a good share of the whole item, is a leak.
 
-The documents are read once, whatever the size of the benchmark. A bitmap of its seeds, at most MAX_BITS, goes to all executors and keeps
+The documents are read once, whatever the size of the benchmark. A bitmap of its seeds, of 32 MiB at most, goes to all executors and keeps
 most places of the documents out of the join; what passes by chance finds no partner there. Documents with a place that passes
 go on with their tokens' hashes, so no text is read or shuffled again.
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_rows, map_batches, null_safe_join, unheld
+from .common import Bitmap, cut, held_rows, map_batches, null_safe_join, unheld
 
 #: Masks of eight tokens each; runs of one, two, three and four tokens between the gaps.
 MASKS = ("11111111", "111101111", "1110111011", "11011011011")
@@ -34,8 +34,8 @@ MASKS = ("11111111", "111101111", "1110111011", "11011011011")
 MIN_SCORE = 12
 #: So is an alignment over a whole item that matches this share of its tokens, and this many.
 ITEM_SHARE, ITEM_TOKENS = 0.7, 8
-#: Bits of the bitmap for each seed, places that a seed has in it, and its least and largest size: 32 MiB.
-BITS_EACH, PROBES, MIN_BITS, MAX_BITS = 64, 4, 1 << 18, 1 << 28
+#: Bits of the bitmap for each seed, and places that a seed has in it.
+BITS_EACH, PROBES = 64, 4
 
 _ALONE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
@@ -74,11 +74,6 @@ def _seeds(tokens: np.ndarray, kind: int, places: list[int]) -> np.ndarray:
     return out * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _probes(bits: int) -> list[tuple[int, int]]:
-    """Shift and mask of a seed's places in the bitmap."""
-    return [(64 - bits.bit_length() + 1 - 9 * k, bits - 1) for k in range(PROBES)]
-
-
 def _verify(tokens: np.ndarray, item: np.ndarray, first: int) -> tuple[int, int, int] | None:
     """(matched, start, end) of the leak in the item's tokens from `first` on beside as many tokens of the document."""
     same = item[first : first + len(tokens)] == tokens
@@ -124,27 +119,12 @@ def _item_seeds(items: DataFrame, kinds: list[list[int]]) -> DataFrame:
     return cut(map_batches(items.select("item", "n", "tokens"), run, "seed long, item long, at long, n long"), "seeds")
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Bits at the places of all seeds, put together in Spark. Its size follows the number of seeds and ends at MAX_BITS."""
-    bits = MIN_BITS
-    wanted = BITS_EACH * seeds.count()
-    while bits < min(wanted, MAX_BITS):
-        bits *= 2
-    places = F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND(F.lit(m)) + 1 for s, m in _probes(bits)]))
-    rows = seeds.select(places.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    table = np.zeros((bits >> 15, 4096), np.uint8)
-    for k, part in rows:
-        table[k - 1] = np.frombuffer(part, np.uint8)
-    return table.ravel()
-
-
 def _passing(own: DataFrame, seeds: DataFrame, kinds: list[list[int]]) -> DataFrame:
     """(_id, _hash, tokens, hits, rows): documents with places whose seeds are in the bitmap, each different one once."""
-    held = own.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    held = own.sparkSession.sparkContext.broadcast(Bitmap(seeds, "seed", BITS_EACH, lambda bits: [64 - bits.bit_length() + 1 - 9 * k for k in range(PROBES)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hashes = held.value, _Hashes()
-        probes = _probes(8 * len(table))
         for batch in batches:
             rows, sizes, found, at, raw = [], [0], [], [], []
             for k, text in enumerate(batch.column(2)):
@@ -152,10 +132,7 @@ def _passing(own: DataFrame, seeds: DataFrame, kinds: list[list[int]]) -> DataFr
                 hit = 0
                 for kind, places in enumerate(kinds):
                     values = _seeds(tokens, kind, places)
-                    spots = np.arange(len(values))
-                    for shift, mask in probes:
-                        bit = (values[spots] >> np.uint64(shift)).astype(np.int64) & mask
-                        spots = spots[table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
+                    spots = table.passing(values)
                     if len(spots):
                         hit += len(spots)
                         found.append(values[spots].view(np.int64))

@@ -2,35 +2,35 @@
 
 Every string of LENGTH bytes, a window, has an anchor: the least of its K-byte strings by hash, the leftmost of equals.
 Equal windows have equal anchors at equal places. Neighbouring windows with one anchor make a segment; segments of one
-anchor, aligned at it, are a collection. Copies of a segment are counted before anything else is done with it.
+anchor, aligned at it, are a collection. Anchors are counted first; what has one of its own repeats nothing and goes no further.
 
-Where segments of one anchor differ, their texts are compared by building the order of all their suffixes column by
-column, from the last one: each round inserts one symbol of every segment, a stable sort by that symbol alone turns the
-order of the suffixes of the column after into that of this one, and the common prefix of neighbours is one more
-than the least between them before, or nothing. The columns come from a sequential external file. Neighbours that share
-LENGTH symbols are repeated windows. As segments are aligned, only suffixes of one column are compared, and a
-round's work is the number of segments.
+A collection's suffixes are put in order column by column, from the last one: each round inserts one symbol of every segment. What
+precedes each suffix, in their order, is the collection's Burrows-Wheeler transform; a stable sort by it alone turns the order of the suffixes
+of one column into that of the column before, and the common prefix of neighbours is one more than the least between them before,
+or nothing. Neighbours that share LENGTH symbols are repeated windows, and so are all windows of a segment that stands for several equal ones:
+these are inserted once, with their number. As segments are aligned, only suffixes of one column are compared, and a round's work is the number of segments.
 
-Collections are dealt by anchor, many to a task. Anchors with more than HOT different segments, such as those of a line that is
-everywhere, aren't collected: each of their windows is hashed and counted for itself.
+Collections are dealt by anchor, many to a task, which reads them from the sorted files of the shuffle and holds one construction's columns at a time.
+Anchors with more than HOT different segments, such as those of a line that is everywhere, aren't collected: each of their windows is hashed and counted
+for itself, with the same result.
 
 Defined results: a null text counts as empty. Texts shorter than LENGTH keep all. A row that repeats another row
-repeats its text, so both lose what is LENGTH bytes or more. Matches never cross documents.
+repeats its text, so both lose what is LENGTH bytes or more. Matches never cross documents. An empty table gives an empty one. Other columns than
+the id and the text don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, flat_bytes, map_batches, null_safe_join, text_bytes
+from .common import Bitmap, cut, flat_bytes, map_batches, null_safe_join, text_bytes
 
 LENGTH, K = 200, 32
 #: Different segments of one anchor that one task compares.
@@ -110,28 +110,37 @@ def segments(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["_id", "_hash", "start", "windows", "place", "anchor", "seg", "n"]
+def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, n) of each batch's segments."""
     for batch in batches:
-        texts = text_bytes(batch.column(2))
-        flat, offsets = flat_bytes(texts)
-        row, start, windows, place, anchor = segments(flat, offsets)
-        raw, at = memoryview(flat), offsets[row] + start
-        digest = xxhash.xxh64_intdigest
-        seg = np.fromiter((digest(raw[a:b]) for a, b in zip(at.tolist(), (at + windows + LENGTH - 1).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
-        # The first of a batch's equal segments counts for all of them.
-        order = np.lexsort((seg, anchor))
-        first = np.flatnonzero(np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (seg[order][1:] != seg[order][:-1])))) if len(order) else order
-        n = np.zeros(len(order), np.int64)
-        n[order[first]] = np.diff(np.append(first, len(order)))
-        take = pa.array(row)
-        cols = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, windows, place)), pa.array(anchor), pa.array(seg), pa.array(n)]
-        for k in range(0, len(row), 1 << 16):
-            yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 16) for c in cols], names)
-
-
-def construct(texts: list[bytes], places: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which windows of the segments are found in another one: rows are segments, columns windows from the segment's start.
+        anchor, n = np.unique(segments(*flat_bytes(text_bytes(batch.column(2))))[4], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+
+
+def _emit_segments(held: Broadcast):
+    """The segments whose anchors are in the bitmap."""
+    names = ["_id", "_hash", "start", "windows", "place", "anchor", "seg"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, digest = held.value, xxhash.xxh64_intdigest
+        for batch in batches:
+            flat, offsets = flat_bytes(text_bytes(batch.column(2)))
+            found = segments(flat, offsets)
+            kept = table.passing(found[4].view(np.uint64))
+            row, start, windows, place, anchor = (x[kept] for x in found)
+            raw, at = memoryview(flat), offsets[row] + start
+            seg = np.fromiter((digest(raw[a:b]) for a, b in zip(at.tolist(), (at + windows + LENGTH - 1).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
+            take = pa.array(row)
+            cols = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, windows, place)), pa.array(anchor), pa.array(seg)]
+            for k in range(0, len(row), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 16) for c in cols], names)
+
+    return run
+
+
+def construct(texts: list[bytes], places: np.ndarray, windows: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Which windows of the segments are found again: rows are segments, columns windows from the segment's start. Each segment
+    stands for so many copies.
 
     Segments are aligned by their anchors' places. A round per column inserts one symbol of each segment.
     """
@@ -142,29 +151,27 @@ def construct(texts: list[bytes], places: np.ndarray, windows: np.ndarray) -> np
     table = np.full((n, columns), 256, np.uint16)  # 256 stands outside the segment and equals nothing
     flat, offsets = flat_bytes(texts)
     table.ravel()[np.arange(len(flat)) + np.repeat(np.arange(n) * columns + first - offsets[:-1], lengths)] = flat
+    table = np.ascontiguousarray(table.T)  # a column's symbols stand together
     found = np.zeros((n, lead + 1), bool)
-    with tempfile.TemporaryFile() as spool:
-        spool.write(table.T[::-1].tobytes())  # the last column first, as the rounds read them
-        del table
-        spool.seek(0)
-        order, common = np.arange(n), np.zeros(n + 1, np.int32)
-        for c in range(columns - 1, -1, -1):
-            symbols = np.frombuffer(spool.read(2 * n), np.uint16)[order]
-            moved = np.argsort(symbols, kind="stable")
-            symbols = symbols[moved]
-            same = (symbols[1:] == symbols[:-1]) & (symbols[1:] < 256)
-            between = np.empty(2 * (n - 1), np.int64)
-            between[0::2], between[1::2] = moved[:-1] + 1, moved[1:] + 1
-            least = np.minimum.reduceat(common, between)[0::2] if n > 1 else common[:0]
-            common = np.zeros(n + 1, np.int32)
-            common[1:n] = np.where(same, least + 1, 0)
-            order = order[moved]
-            if c <= lead:
-                repeated = common >= LENGTH
-                rows = order[repeated[:-1] | repeated[1:]]
-                at = c - first[rows]
-                inside = (at >= 0) & (at < windows[rows])
-                found[rows[inside], at[inside]] = True
+    several = copies > 1
+    order, common = np.arange(n), np.zeros(n + 1, np.int32)
+    for c in range(columns - 1, -1, -1):
+        transform = table[c][order]  # what precedes each suffix, in their order
+        moved = np.argsort(transform, kind="stable")
+        symbols = transform[moved]
+        same = (symbols[1:] == symbols[:-1]) & (symbols[1:] < 256)
+        between = np.empty(2 * (n - 1), np.int64)
+        between[0::2], between[1::2] = moved[:-1] + 1, moved[1:] + 1
+        least = np.minimum.reduceat(common, between)[0::2] if n > 1 else common[:0]
+        common = np.zeros(n + 1, np.int32)
+        common[1:n] = np.where(same, least + 1, 0)
+        order = order[moved]
+        if c <= lead:
+            repeated = common >= LENGTH
+            rows = order[repeated[:-1] | repeated[1:] | several[order]]
+            at = c - first[rows]
+            inside = (at >= 0) & (at < windows[rows])
+            found[rows[inside], at[inside]] = True
     return found
 
 
@@ -172,8 +179,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over segments sorted by anchor: (anchor, seg, from, to) of each run of repeated windows."""
 
     def work(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchors, segs, places, windows, texts = zip(*held, strict=True)
-        found = construct(list(texts), np.array(places, np.int64), np.array(windows, np.int64))
+        anchors, segs, copies, places, windows, texts = zip(*held, strict=True)
+        found = construct(list(texts), np.array(places, np.int64), np.array(windows, np.int64), np.array(copies, np.int64))
         edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, start = np.nonzero(edges == 1)
         stop = np.nonzero(edges == -1)[1]
@@ -192,50 +199,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, seg, at, place, digest) of each window of the segments."""
+    """(anchor, seg, copies, at, place, digest) of each window of the segments."""
     digest = xxhash.xxh64_intdigest
     for batch in batches:
-        for anchor, seg, place, windows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for anchor, seg, copies, place, windows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             at = np.arange(windows)
             raw = memoryview(text)
             hashes = np.fromiter((digest(raw[a : a + LENGTH]) for a in range(windows)), np.uint64, windows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(windows, anchor)), pa.array(np.full(windows, seg)), pa.array(at, pa.int32()), pa.array(place - at, pa.int32()), pa.array(hashes)], ["anchor", "seg", "at", "place", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(windows, anchor)), pa.array(np.full(windows, seg)), pa.array(np.full(windows, copies)), pa.array(at, pa.int32()), pa.array(place - at, pa.int32()), pa.array(hashes)], ["anchor", "seg", "copies", "at", "place", "digest"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of the wanted segments of each document."""
-    names = ["anchor", "seg", "place", "windows", "text", "hot"]
+    names = ["anchor", "seg", "copies", "place", "windows", "text", "hot"]
     for batch in batches:
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             pieces = [text[x["start"] : x["start"] + x["windows"] + LENGTH - 1] for x in wanted]
-            cols = [pa.array([x[k] for x in wanted], kind) for k, kind in (("anchor", pa.int64()), ("seg", pa.int64()), ("place", pa.int32()), ("windows", pa.int32()))]
+            cols = [pa.array([x[k] for x in wanted], kind) for k, kind in (("anchor", pa.int64()), ("seg", pa.int64()), ("copies", pa.int64()), ("place", pa.int32()), ("windows", pa.int32()))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pieces, pa.binary()), pa.array([x["hot"] for x in wanted], pa.bool_())], names)
 
 
 def repeated_windows(held: DataFrame) -> DataFrame:
     """(_id, _hash, lo, hi): runs of repeated windows' starts in the texts of (_id, _hash, text), in bytes."""
-    spots = cut(map_batches(held, _emit_segments, "_id long, _hash long, start int, windows int, place int, anchor long, seg long, n long"), "segments")
-    # Copies of each segment, and all segments of its anchor: equal ones of a batch are one row here.
-    tally = spots.where("n > 0").select("anchor", "seg", "n").repartition("anchor").groupBy("anchor", "seg").agg(F.sum("n").alias("copies"))
-    own = Window.partitionBy("anchor")
-    tally = tally.withColumn("all", F.sum("copies").over(own)).withColumn("kinds", F.count(F.lit(1)).over(own)).where("all > 1")
-    tally = tally.select("anchor", "seg", "copies", (F.col("kinds") > 1).alias("mixed"), (F.col("kinds") > HOT).alias("hot"))
-    shared = cut(spots.drop("n").join(tally, ["anchor", "seg"]), "shared")
-    whole = shared.where("copies > 1").select("_id", "_hash", F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi"))
-
-    kinds = shared.where("mixed").groupBy("anchor", "seg", "hot").agg(F.min(F.struct("_id", "_hash", "start", "windows", "place")).alias("one"))
-    wanted = kinds.groupBy("one._id", "one._hash").agg(F.collect_list(F.struct("anchor", "seg", "one.start", "one.windows", "one.place", "hot")).alias("wanted"))
+    counted = map_batches(held, _emit_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    anchors = cut(counted.where("n > 1").select("anchor"), "anchors")
+    # The low bits of an anchor, which is a least hash, are even.
+    table = held.sparkSession.sparkContext.broadcast(Bitmap(anchors, "anchor", 16, lambda bits: (0, 5, 10)))
+    spots = map_batches(held, _emit_segments(table), "_id long, _hash long, start int, windows int, place int, anchor long, seg long")
+    shared = cut(spots.join(anchors, "anchor").select("_id", "_hash", "start", "windows", "place", "anchor", "seg"), "shared")
+    table.unpersist()
+
+    kinds = cut(shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_hash", "start", "windows", "place")).alias("one")), "kinds")
+    hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("anchor", F.lit(True).alias("hot"))
+    kinds = kinds.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = kinds.groupBy("one._id", "one._hash").agg(F.collect_list(F.struct("anchor", "seg", "copies", "one.start", "one.windows", "one.place", "hot")).alias("wanted"))
     texts = null_safe_join(held, wanted, ["_id", "_hash"])
-    pieces = cut(map_batches(texts.select(F.col("text").cast("binary").alias("text"), "wanted"), _cut_out, "anchor long, seg long, place int, windows int, text binary, hot boolean"), "pieces")
+    pieces = cut(map_batches(texts.select(F.col("text").cast("binary").alias("text"), "wanted"), _cut_out, "anchor long, seg long, copies long, place int, windows int, text binary, hot boolean"), "pieces", "zstd")
 
-    cold = pieces.where("not hot").select("anchor", "seg", "place", "windows", "text").repartition("anchor").sortWithinPartitions("anchor", "seg")
+    cold = pieces.where("not hot").select("anchor", "seg", "copies", "place", "windows", "text").repartition("anchor").sortWithinPartitions("anchor", "seg")
     compared = map_batches(cold, _compare, "anchor long, seg long, lo int, hi int")
-    single = map_batches(pieces.where("hot").select("anchor", "seg", "place", "windows", "text"), _window_hashes, "anchor long, seg long, at int, place int, digest long")
-    several = single.groupBy("anchor", "place", "digest").agg(F.count_distinct("seg").alias("_n")).where("_n > 1").drop("_n")
-    hot = single.join(several, ["anchor", "place", "digest"]).select("anchor", "seg", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
-    found = compared.unionByName(hot)
-    alone = shared.where("copies = 1 AND mixed").join(found, ["anchor", "seg"]).select("_id", "_hash", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    return whole.unionByName(alone)
+    single = map_batches(pieces.where("hot").select("anchor", "seg", "copies", "place", "windows", "text"), _window_hashes, "anchor long, seg long, copies long, at int, place int, digest long")
+    several = single.groupBy("anchor", "place", "digest").agg(F.sum("copies").alias("_n")).where("_n > 1").drop("_n")
+    crowded = single.join(several, ["anchor", "place", "digest"]).select("anchor", "seg", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    return shared.join(compared.unionByName(crowded), ["anchor", "seg"]).select("_id", "_hash", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

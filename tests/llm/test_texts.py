@@ -307,8 +307,8 @@ def test_leaks_are_those_of_all_diagonals(spark, monkeypatch):
     found = {(x.doc_id, x.item_id) for x in decontamination.leaks(df, bench).collect()}
     assert found <= all_of and len(found) >= 0.95 * len(all_of) and len(all_of) > 40
     monkeypatch.setattr(decontamination, "BITS_EACH", 1)
-    monkeypatch.setattr(decontamination, "MIN_BITS", 1 << 15)
-    monkeypatch.setattr(decontamination, "MAX_BITS", 1 << 15)
+    monkeypatch.setattr(decontamination.Bitmap, "LEAST", 1 << 15)
+    monkeypatch.setattr(decontamination.Bitmap, "MOST", 1 << 15)
     assert {(x.doc_id, x.item_id) for x in decontamination.leaks(df, bench).collect()} == found
 
 
