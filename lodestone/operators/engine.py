@@ -153,7 +153,7 @@ class Engine:
     def _rebuild(self) -> None:
         """A new snapshot takes the place of the old one at once; changes that it holds leave the overlay, others stay."""
         with self._lock:
-            seen, before = self.overlay.generation, None if self.overlay.empty else self.overlay._all()
+            seen, before = self.overlay.generation, None if self.overlay.empty else self.overlay.latest()
         corpus = self._open()
         index = self._indexed(corpus, True)
         left = None if before is None else not_held(before, corpus.docs, corpus.live).persist()

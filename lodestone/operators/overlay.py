@@ -99,10 +99,14 @@ class Overlay:
     def clear(self) -> None:
         self.replace(self.spark.createDataFrame([], SCHEMA), self.generation)
 
+    def latest(self, generation: int | None = None) -> DataFrame:
+        """The last change of each path up to a generation, whole."""
+        last = F.max_by(F.struct("op", "content", "generation", "sequence"), F.struct("generation", "sequence", (F.col("op") == "modified").alias("m"), "content"))
+        return self._all(generation).groupBy("path").agg(last.alias("c")).select("path", "c.*")
+
     def snapshot(self, generation: int | None = None) -> DataFrame:
         """(path, op, content): the last change of each path up to a generation. Generations that a rebuild took out are gone."""
-        last = F.max_by(F.struct("op", "content"), F.struct("generation", "sequence", (F.col("op") == "modified").alias("m"), "content"))
-        return self._all(generation).groupBy("path").agg(last.alias("c")).select("path", "c.op", "c.content")
+        return self.latest(generation).select("path", "op", "content")
 
 
 def not_held(changes: DataFrame, docs: DataFrame, live: bool = False) -> DataFrame:

@@ -24,6 +24,8 @@ MAX_RESULTS = 200
 MODES = ("matches", "ids", "paths", "count")
 #: Bytes of a corpus from which the index may pay; below, one scan is cheaper than a second stage.
 AUTO_INDEX_BYTES = 4 << 30
+#: Candidates up to which their ids are looked up first.
+LOOKUP_IDS = 2000
 #: Documents from which a limited search goes through them in parts by id; the first is this share of them, each next one twice the last.
 EARLY_DOCS, FIRST_PART = 1 << 16, 64
 
@@ -169,7 +171,7 @@ def _candidates(sources: Sources, plan: QueryPlan, options: SearchOptions, index
         if indexed:
             hit = cand.by_plan(sources.index.grams(plan.folded), plan)
             ids = hit.unionByName(sources.index.meta.where("NOT indexed").select("doc_id"))
-            base = base.join(ids, "doc_id", "left_semi")
+            base = _looked_up(base, ids, sources, plan)
         else:
             base = base.where(~F.col("indexed") | (cand.required_bytes(F.col("content"), plan) & grams(F.col("content"))))
         if changed is not None:
@@ -177,6 +179,15 @@ def _candidates(sources: Sources, plan: QueryPlan, options: SearchOptions, index
     return base, changed
 
 
+def _looked_up(base: DataFrame, ids: DataFrame, sources: Sources, plan: QueryPlan) -> DataFrame:
+    """The documents of some ids. A few ids that a stored index names go into the scan's filter, which skips what holds none of them."""
+    if sources.index.doc_count is not None and cand.rarest(sources.index.gram_counts(plan.folded), plan) <= LOOKUP_IDS:
+        few = [r[0] for r in ids.limit(LOOKUP_IDS + 1).collect()]
+        if len(few) <= LOOKUP_IDS:
+            return base.where(F.col("doc_id").isin(few))
+    return base.join(ids, "doc_id", "left_semi")
+
+
 def _listed(base: DataFrame, changed: DataFrame | None) -> DataFrame:
     out = base.select(F.lit(False).alias("is_overlay"), "doc_id", "path")
     if changed is not None:

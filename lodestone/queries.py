@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.grams import Rarity, bigram_frequency, covering_ngrams, gram_hash, pack_trigrams
 from .operators import index as ix
+from .operators.engine import Engine
 from .operators.overlay import Overlay, classified, outcome_counts
 from .operators.search import HashSearchOptions, SearchOptions, Sources, hash_search, hot_search, literal_search, match_counts, matching_docs, regex_search
 from .operators.synthetic import PATTERNS, synthetic
@@ -20,6 +21,7 @@ from .plans import candidates as cand
 from .plans.planner import plan_literal, plan_pattern
 from .sources.corpus import MAX_FILE_BYTES, Corpus, from_table
 from .sources.paths import PathFilter, glob_predicate, not_guarded, not_skipped, relative_path
+from .sources.store import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +92,7 @@ def regex_query(name: str, corpus: Callable[[SparkSession, str], Corpus], docs:
 
 
 ALL = {"max_results": None}
+_LICENSE = [gram_hash(int(g).to_bytes(3, "big")) for g in pack_trigrams(b"License")]
 HEX = "[a-f0-9]{40}"
 
 # Sources.
@@ -112,10 +115,9 @@ def skip_dirs_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").where(not_skipped(F.col("url")) & not_guarded(F.col("url"))).select("page_id", "url")
 
 
-@query("path_normalise", "SELECT page_id, CASE WHEN starts_with(replace(url, '\\', '/'), 'https://www.') THEN substr(replace(url, '\\', '/'), 13) ELSE replace(url, '\\', '/') END AS path FROM pages WHERE starts_with(url, 'https://www.') = FALSE")
+@query("path_normalise", "SELECT page_id, CASE WHEN starts_with(replace(url, '\\', '/'), 'http:/') THEN substr(replace(url, '\\', '/'), 7) ELSE replace(url, '\\', '/') END AS path FROM pages")
 def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.read.parquet(f"{sf_dir}/pages.parquet").where(~F.col("url").startswith("https://www."))
-    return found.select("page_id", relative_path(F.col("url"), "https://www.x").alias("path"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", relative_path(F.col("url"), "http:/").alias("path"))
 
 
 # Path filters.
@@ -138,7 +140,7 @@ regex_query("regex_alternation", documents, DOCS, "Apache License|MIT License|Re
 regex_query("regex_class_heavy", documents, DOCS, "[0-9]{3}-[0-9]{4}", SearchOptions(**ALL))
 regex_query("regex_hex_fallback", documents, DOCS, HEX, SearchOptions(**ALL))
 regex_query("regex_caseless", documents, DOCS, "license[a-z ]*", SearchOptions(case_sensitive=False, **ALL), flags="i")
-regex_query("regex_dotall", documents, DOCS, "License.{1,12}", SearchOptions(dotall=True, include=("*/en/*",), **ALL), flags="s", where="regexp_matches(path, '/en/')")
+regex_query("regex_dotall", conversations, CONVERSATIONS, "[.].[A-Z]", SearchOptions(dotall=True, **ALL), flags="s")
 regex_query("regex_multiline", documents, DOCS, "^The [a-z]+", SearchOptions(multiline=True, **ALL), flags="m")
 regex_query("regex_no_snippet", documents, DOCS, "token = ", SearchOptions(no_snippet=True, **ALL))
 regex_query("regex_path_filtered", documents, DOCS, "example[.]com", SearchOptions(include=("src1/*", "src3/*"), exclude=("*/de/*",), **ALL), where="(starts_with(path, 'src1/') OR starts_with(path, 'src3/')) AND NOT regexp_matches(path, '/de/')")
@@ -161,7 +163,16 @@ def match_count_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_counts(Sources(documents(spark, sf_dir)), HEX).agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_docs"))
 
 
-@query("regex_empty_matches")
+#: Every byte starts an empty match, but for those within a run of `the` and the one that a run ends at.
+EMPTY = f"""WITH t AS (SELECT path, hex(encode(text)) AS h FROM ({BENCHMARK})),
+b AS (SELECT path, h, length(h) // 2 AS n, p, substr(h, 2 * p + 1, 6) = '746865' AS here, p >= 3 AND substr(h, 2 * p - 5, 6) = '746865' AS gone FROM (SELECT path, h, unnest(range(0, length(h) // 2 + 1)) AS p FROM t)),
+s AS (SELECT *, coalesce(max(CASE WHEN substr(h, 2 * p + 1, 2) = '0A' THEN p + 1 END) OVER w, 0) AS first, count(CASE WHEN substr(h, 2 * p + 1, 2) = '0A' THEN 1 END) OVER w AS above FROM b WINDOW w AS (PARTITION BY path ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT path, p, first, above, min(CASE WHEN gone AND NOT here THEN p END) OVER (PARTITION BY path ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop, here, gone,
+  coalesce(max(CASE WHEN here THEN p + 3 END) OVER (PARTITION BY path ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS until FROM s)
+SELECT path, p AS byte_offset, CASE WHEN here THEN stop ELSE p END AS end_offset, (above + 1)::BIGINT AS "line", (p - first + 1)::BIGINT AS "column", '' AS snippet FROM o WHERE p > until OR (here AND NOT gone AND p >= until)"""
+
+
+@query("regex_empty_matches", EMPTY)
 def regex_empty_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regex_search(Sources(benchmark(spark, sf_dir)), "(?:the)*", SearchOptions(no_snippet=True, **ALL)).matches
 
@@ -303,20 +314,60 @@ def indexed_equals_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regex_search(_indexed(spark, sf_dir), "Apache License, Version [0-9]", SearchOptions(use_index="always", **ALL)).matches
 
 
+@query("indexed_with_budget", matches_sql(DOCS, "Apache License, Version [0-9]|MIT License"))
+def indexed_with_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regex_search(_indexed(spark, sf_dir), "Apache License, Version [0-9]|MIT License", SearchOptions(use_index="always", budget=True, **ALL)).matches
+
+
+# The stored index: written, loaded and looked up.
+
+_stored_at: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Sources:
+    corpus, key = documents(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored_at:
+        root = scratch(spark)
+        ix.write(ix.build(corpus, long_grams=False), root, corpus)
+        _stored_at[key] = root
+    return Sources(corpus, ix.load(spark, _stored_at[key], corpus))
+
+
+query("stored_index_matches", matches_sql(DOCS, "Apache License, Version [0-9]"))(lambda spark, sf_dir: regex_search(_stored(spark, sf_dir), "Apache License, Version [0-9]", SearchOptions(use_index="always", **ALL)).matches)
+query("stored_index_candidates", _held(f"({_all_grams('MIT License')}) OR ({_all_grams('Apache')})"))(lambda spark, sf_dir: regex_search(_stored(spark, sf_dir), "MIT License|Apache [A-Z]", SearchOptions(return_mode="paths", use_index="always")).candidates.select("doc_id", "path"))
+query("stored_index_caseless", matches_sql(DOCS, "license", "i"))(lambda spark, sf_dir: regex_search(_stored(spark, sf_dir), "license", SearchOptions(case_sensitive=False, use_index="always", **ALL)).matches)
+query("stored_index_hashes", _held(_all_grams("License")))(lambda spark, sf_dir: hash_search(_stored(spark, sf_dir), _LICENSE, "and", HashSearchOptions(return_mode="ids")).candidates.select("doc_id", "path"))
+
+
+@query("stored_index_postings", f"SELECT ('0x' || hex(g))::BIGINT AS gram, doc_id FROM ({DOCS}), (VALUES ('Lic'), ('the'), ('zq~')) t(g) WHERE contains(text, g)")
+def stored_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).index.postings.where(F.col("gram").isin([int.from_bytes(g, "big") for g in (b"Lic", b"the", b"zq~")]))
+
+
+@query("stored_index_statistics", f"SELECT gram, folded, count(*)::BIGINT AS n FROM (SELECT gram, doc_id, FALSE AS folded FROM ({GRAMS.format(docs=DOCS)}) UNION ALL SELECT gram, doc_id, TRUE FROM ({GRAMS.format(docs=DOCS.replace(', text FROM', ', translate(text, $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$) AS text FROM'))})) GROUP BY ALL")
+def stored_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).index.counts
+
+
 @query("posting_any", f"SELECT doc_id FROM ({DOCS}) WHERE contains(text, 'Lic') OR contains(text, 'Apa')")
 def posting_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cand.any_of(ix.postings_of(documents(spark, sf_dir).docs), [int.from_bytes(b"Lic", "big"), int.from_bytes(b"Apa", "big")])
 
 
-@query("plan_admits_column", f"SELECT doc_id FROM ({DOCS}) WHERE {_all_grams('secret')}")
+@query("plan_admits_column", f"SELECT doc_id FROM ({DOCS}) WHERE {_all_grams('License')}")
 def plan_admits_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.grams import trigrams
 
-    plan = plan_literal(b"secret")
+    plan = plan_literal(b"License")
     return documents(spark, sf_dir).docs.where(cand.admitted(trigrams(F.col("content")), plan)).select("doc_id")
 
 
-@query("plan_report")
+#: What the patterns require, worked out by hand: trigrams of License 5; of MIT License 9 and Apache 4; of user_ 3 and _event_ 5, and so on.
+REPORT = """SELECT * FROM (VALUES ('License', 'and', 1::BIGINT, 5::BIGINT, 'License', FALSE), ('MIT License|Apache', 'or', 2, 13, 'MIT License,Apache', FALSE), ('user_[0-9]{4}_event_[A-Z]{3}', 'and', 1, 8, 'user_,_event_', FALSE),
+  ('[a-f0-9]{40}', 'all', 0, 0, '', TRUE), ('abc+def', 'and', 1, 3, 'abc,cdef', FALSE), ('xa{1,3}yz', 'and', 1, 1, 'ayz', FALSE), ('(?i)foobar', 'and', 1, 4, 'foobar', FALSE), ('\\x41bcd', 'and', 1, 2, 'Abcd', FALSE), ('a|bcd', 'all', 0, 0, '', TRUE)) t(pattern, kind, branches, grams, literals, used_fallback)"""
+
+
+@query("plan_report", REPORT)
 def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for p in ("License", "MIT License|Apache", "user_[0-9]{4}_event_[A-Z]{3}", HEX, "abc+def", "xa{1,3}yz", "(?i)foobar", r"\x41bcd", "a|bcd"):
@@ -327,9 +378,6 @@ def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Hash search.
 
-_LICENSE = [gram_hash(int(g).to_bytes(3, "big")) for g in pack_trigrams(b"License")]
-
-
 def _hashed(spark: SparkSession, sf_dir: str, hashes: list[int], logic: str, **options) -> DataFrame:
     found = hash_search(_indexed(spark, sf_dir), hashes, logic, HashSearchOptions(**options))
     return found.matches if options.get("verify_literal") else found.candidates.select("doc_id", "path")
@@ -396,11 +444,48 @@ def update_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome_counts(classified(docs.select("path", F.when(F.col("doc_id") % 7 != 0, F.col("content")).alias("content"), F.lit(True).alias("is_file"))))
 
 
-@query("overlay_status", f"SELECT count(*) FILTER (WHERE doc_id % 89 = 0 OR doc_id % 97 = 0)::BIGINT AS overlay_dirty_files, count(*)::BIGINT AS indexed_docs, CASE WHEN count(*) FILTER (WHERE doc_id % 89 = 0 OR doc_id % 97 = 0) > 0 THEN 'stale' ELSE 'fresh' END AS freshness FROM ({DOCS})")
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over documents with the same changes, taken in by two calls."""
+    corpus = documents(spark, sf_dir)
+    engine = Engine(spark, lambda: corpus, auto_index=False)
+    engine.index_update_files(corpus.docs.where("doc_id % 89 = 0").select("path", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("is_file")))
+    engine.index_update_files(_changes(corpus).select("path", "content", F.lit(True).alias("is_file")))
+    return engine
+
+
+@query("overlay_status", f"SELECT 'NO_VERSION' AS base_commit, count(*) FILTER (WHERE doc_id % 89 = 0 OR doc_id % 97 = 0)::BIGINT AS overlay_dirty_files, count(*)::BIGINT AS indexed_docs, 1::BIGINT AS base_generation, 'idle' AS state, CASE WHEN count(*) FILTER (WHERE doc_id % 89 = 0 OR doc_id % 97 = 0) > 0 THEN 'stale' ELSE 'fresh' END AS freshness FROM ({DOCS})")
 def overlay_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = _overlaid(spark, sf_dir)
-    docs, dirty = (x.agg(F.count(F.lit(1)).alias(n)) for x, n in ((sources.corpus.meta, "indexed_docs"), (sources.overlay, "overlay_dirty_files")))
-    return dirty.crossJoin(docs).withColumn("freshness", F.when(F.col("overlay_dirty_files") > 0, "stale").otherwise("fresh"))
+    s = _engine(spark, sf_dir).index_status()
+    return spark.createDataFrame([(s["base_commit"], s["overlay_dirty_files"], s["indexed_docs"], s["base_generation"], s["rebuild_state"]["state"], s["freshness"])], "base_commit string, overlay_dirty_files long, indexed_docs long, base_generation long, state string, freshness string")
+
+
+@query("overlay_rebuild", matches_sql(f"SELECT doc_id, path, text FROM ({CHANGED})", "License"))
+def overlay_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild over a table that has none of the changes: all of them stay."""
+    engine = _engine(spark, sf_dir)
+    engine.index_rebuild("foreground")
+    return regex_search(engine._sources()[0], "License", SearchOptions(**ALL)).matches
+
+
+@query("overlay_rebuilt_in", matches_sql(f"SELECT doc_id, path, text FROM ({CHANGED})", "License"))
+def overlay_rebuilt_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild over a table that has every second changed text and no deleted row: the overlay keeps the rest."""
+    engine = _engine(spark, sf_dir)
+    corpus = engine._base.corpus
+    new = F.when(F.col("doc_id") % 194 == 0, F.encode(F.concat(F.lit("overlay License text\n"), F.col("doc_id").cast("string")), "UTF-8")).otherwise(F.col("content"))
+    engine._open = lambda: Corpus(corpus.docs.withColumn("content", new).where("doc_id % 89 <> 0 OR doc_id % 97 = 0"), corpus.name)
+    engine.index_rebuild("foreground")
+    return regex_search(engine._sources()[0], "License", SearchOptions(**ALL)).matches
+
+
+@query("overlay_same_path", f"SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'deleted' END AS op, CASE WHEN doc_id % 2 = 0 THEN 'last ' || doc_id::VARCHAR END AS text FROM ({DOCS}) WHERE doc_id % 7 = 0")
+def overlay_same_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several changes of a path in one batch: the one with the largest sequence counts."""
+    docs, overlay = documents(spark, sf_dir).docs.where("doc_id % 7 = 0"), Overlay(spark)
+    last = docs.select("path", F.when(F.col("doc_id") % 2 == 0, "modified").otherwise("deleted").alias("op"), F.when(F.col("doc_id") % 2 == 0, F.encode(F.concat(F.lit("last "), F.col("doc_id").cast("string")), "UTF-8")).alias("content"), F.lit(2).alias("sequence"))
+    first = docs.select("path", F.when(F.col("doc_id") % 2 == 0, "deleted").otherwise("modified").alias("op"), F.when(F.col("doc_id") % 2 == 1, F.col("content")).alias("content"), F.lit(1).alias("sequence"))
+    overlay.append(last.unionByName(first))
+    return overlay.snapshot().select("path", "op", F.col("content").cast("string").alias("text"))
 
 
 # Hot documents and the synthetic corpus.
