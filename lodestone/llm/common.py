@@ -176,7 +176,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edge table (a, b) of longs: root is the least node reachable.
 
     Large-star and small-star rounds alternate until nothing changes. Every round is two aggregations and two joins
@@ -185,7 +185,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     flat = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = cut(flat, "edges")
     seen = _checksum(current)
-    for _ in range(rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("_m"))
         large = both.join(least, F.col("a") == F.col("_a")).where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct()
@@ -197,8 +197,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         seen = _checksum(current)
         if seen == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 

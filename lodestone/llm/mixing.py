@@ -9,8 +9,8 @@ Targets share the budget by weight; none exceeds `epochs` times its source, and
 among the others by weight until none is above.
 
 Defined results: a null text has no words and size 0; null sources are one source, the last. Equal rows (ties) are
-interchangeable: one of them may be taken once more than another. The order depends on the id and a seed alone, so reruns
-agree. An empty table gives an empty one.
+interchangeable: one of them may be taken once more than another. The order depends on the id, a seed and, among rows of one id and size,
+on the whole row, so reruns agree. An empty table gives an empty one. Other columns don't matter, whatever their names; the mix itself has all of them.
 """
 
 from __future__ import annotations
@@ -49,12 +49,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], epochs: int) -> Dat
 
 
 def plan(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3, seed: int = 0) -> DataFrame:
-    """Add source_size, target and taken to rows of (doc_id, source, size, more); `more` breaks no tie."""
+    """Add source_size, target and taken to rows of (doc_id, source, size, more); of `more`, only _hash breaks ties."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     rows = sizes.withColumn("_key", key).withColumn("_hash31", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), 1))
     targets = cut(source_targets(sizes, weights, epochs), "targets")
     count, budget = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    queued = with_running(rows, ["source"], ["_key", "doc_id", "size"], "_hash31", "size", count, "_sent")
+    ties = [c for c in ("_hash",) if c in sizes.columns]
+    queued = with_running(rows, ["source"], ["_key", "doc_id", "size", *ties], "_hash31", "size", count, "_sent")
     queued = cut(null_safe_join(queued, targets, ["source"]), "queued")
     sent = [F.col("_sent") + F.lit(e) * F.col("source_size") for e in range(epochs)]
     finish = [s.cast("double") / F.col("target") for s in sent]
