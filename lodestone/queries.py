@@ -196,19 +196,19 @@ GRAMS = "SELECT DISTINCT doc_id, ('0x' || substr(h, 2 * i + 1, 6))::BIGINT AS gr
 PAIRS = "SELECT ('0x' || substr(h, 2 * i + 1, 4))::BIGINT AS key, count(*)::BIGINT AS freq FROM (SELECT h, unnest(range(0, length(h) // 2 - 1)) AS i FROM (SELECT hex(encode(text)) AS h FROM ({docs}))) GROUP BY 1"
 
 
-@query("trigram_postings", f"SELECT gram, doc_id FROM ({GRAMS.format(docs=BENCHMARK)})")
+@query("trigram_postings", f"SELECT gram, doc_id FROM ({GRAMS.format(docs=DOCS)})")
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.postings_of(benchmark(spark, sf_dir).docs)
+    return ix.postings_of(documents(spark, sf_dir).docs)
 
 
-@query("folded_postings", f"SELECT gram, doc_id FROM ({GRAMS.format(docs=BENCHMARK.replace('item_id::VARCHAR AS path, text', 'item_id::VARCHAR AS path, translate(text, $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$) AS text'))})")
+@query("folded_postings", f"SELECT gram, doc_id FROM ({GRAMS.format(docs=DOCS.replace(', text FROM', ', translate(text, $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$) AS text FROM'))})")
 def folded_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.postings_of(benchmark(spark, sf_dir).docs, True)
+    return ix.postings_of(documents(spark, sf_dir).docs, True)
 
 
-@query("posting_lists", f"SELECT gram, count(*)::BIGINT AS n_docs, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM ({GRAMS.format(docs=BENCHMARK)}) GROUP BY gram")
+@query("posting_lists", f"SELECT gram, count(*)::BIGINT AS n_docs, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM ({GRAMS.format(docs=DOCS)}) GROUP BY gram")
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ix.posting_lists(ix.postings_of(benchmark(spark, sf_dir).docs))
+    found = ix.posting_lists(ix.postings_of(documents(spark, sf_dir).docs))
     return found.select("gram", F.size("doc_ids").cast("long").alias("n_docs"), F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
