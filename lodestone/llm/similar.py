@@ -6,13 +6,15 @@ the distinct words, in which such texts differ in about eight of 128 bits: it is
 meet where a segment differs in one bit at most. All that differ in up to seven bits do, most of the others as well.
 A passage added, cut off or replaced changes many of its words at once, so 16 more segments are bands of five minima of
 the shingles' hashes each: of texts that share 0.8 of their shingles 99.8% have an equal band, wherever they differ.
-What meets and whose 256-bit fingerprints of the distinct shingles differ in at most `distance(similarity)` bits is a candidate; of these, those
-stay that hold the texts together best, and each is verified on the shingles themselves.
+All that meet are verified on the shingles themselves, unless their texts are in one class by then. That takes two passes.
 
-Of the candidates of a variant with more than FEW texts a least spanning forest by distance stays, and of each text the NEAREST closest ones: they are as many as the texts, not their pairs. Variants that more than
+The first one looks at those whose 256-bit fingerprints of the distinct shingles differ in at most `distance(similarity)` bits. Of a variant with more than FEW
+texts a least spanning forest by distance stays, and of each text the NEAREST closest ones: they are as many as the texts, not their pairs. Variants that more than
 HOT texts share don't compare all of them: each text is compared with the leaders, those that no leader before was near, with the
-last HOT others, and with those that the triangle inequality leaves possible while they are not linked yet. A link always joins two texts that share `similarity` of
-their shingles or more, so nothing below it goes.
+last HOT others, and with those that the triangle inequality leaves possible while they are not linked yet. The second one takes every variant
+whose texts are of several classes after the first one's links, with their shingles, and verifies all pairs between classes, whatever their fingerprints' distance. Large variants
+go in parts, of which each two are a group of the shuffle. So the classes are those of all pairs that meet, and only the time, not what is shuffled, follows the number of pairs
+within a part. A link always joins two texts that share `similarity` of their shingles or more, so nothing below it goes.
 
 Defined results: texts without words are one class; fewer words than a shingle make one shingle. Rows with one pair of
 fingerprints are one node, so copies never make pairs. An empty table gives an empty one. All columns come back as they were,
@@ -21,6 +23,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from math import acos, pi
 
@@ -38,8 +41,10 @@ SEGMENTS, SEGMENT, BITS = 4, 32, 256
 BANDS, MINIMA = 16, 5
 #: Odd factors, each of which makes another order of the shingles' hashes.
 _ORDERS = np.frombuffer(b"".join([xxhash.xxh64_digest(b"order", i) for i in range(BANDS * MINIMA)]), np.uint64) | np.uint64(1)
-#: Members of a variant that are compared with each other.
+#: Members of a variant that the first pass compares with each other.
 HOT = 4096
+#: Members of a variant, and bytes of their shingles' hashes, of which the second pass makes a part.
+PART, PART_BYTES = 1 << 13, 8 << 20
 #: Rows of a variant that are held at once to see whether they meet.
 LONG = 1 << 17
 #: Bits beyond the expected distance that still count: nearly twice the distance's deviation.
@@ -269,15 +274,82 @@ def _verified(reach: int):
     return run
 
 
-def candidates(nodes: DataFrame, reach: int) -> DataFrame:
-    """Edges (a, b), a < b, between the nodes (node, words, shingles), each once."""
+def _across(similarity: float):
+    """Links of rows sorted by group: a variant's two parts p < q, of which the rows of the one are compared with those of
+    the other, or p = q, a part's own rows. Of all pairs of different classes those that share no segment before."""
+
+    def group(variant: int, within: bool, one: np.ndarray, left: np.ndarray, root: np.ndarray, words: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        s, bit = divmod(variant >> 32, SEGMENT)
+        label = np.unique(root, return_inverse=True)[1]
+        sizes = np.array([len(x) for x in sets])
+        ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+        held = np.zeros(1 + max((int(x.max()) for x in ids if len(x)), default=0), bool)
+        for i in range(len(sets)) if within else np.flatnonzero(left).tolist():
+            fits = (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9) & (sizes > 0)
+            if bit:
+                fits &= one != one[i]
+            fits &= np.arange(len(sets)) > i if within else ~left
+            others = np.flatnonzero(fits)
+            if s and len(others):
+                differ = np.bitwise_count(words[others, :s] ^ words[i, :s])
+                differ[:, SEGMENTS:] *= 2
+                others = others[(differ > 1).all(1)]
+            if not len(others):
+                continue
+            held[ids[i]] = True
+            both = np.add.reduceat(held[np.concatenate([ids[k] for k in others.tolist()])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            held[ids[i]] = False
+            for k in others[both >= similarity * (sizes[i] + sizes[others] - both) - 1e-9].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    yield i, k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, variant, p, q, part, one, node, root, words, sets) in _runs(batches, sys.maxsize):
+            words = np.frombuffer(b"".join(words), ">u4").reshape(-1, SEGMENTS + BANDS).astype(np.uint32)
+            change = np.zeros(len(key) - 1, bool)
+            for c in (key, variant, p, q):
+                change |= c[1:] != c[:-1]
+            starts = np.flatnonzero(np.concatenate(([True], change))).tolist()
+            a, b = [], []
+            for x, y in zip(starts, [*starts[1:], len(key)], strict=True):
+                if y - x > 1:
+                    own = [np.frombuffer(z, np.uint32) for z in sets[x:y]]
+                    for i, k in group(int(variant[x]), bool(p[x] == q[x]), one[x:y], part[x:y] == p[x], root[x:y], words[x:y], own):
+                        a.append(node[x + i])
+                        b.append(node[x + k])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(variant, one, node) of the nodes (node, words) that meet another one."""
     variants = map_batches(nodes.select("node", "words"), _variants, "variant long, one boolean, node long").repartition("variant").sortWithinPartitions("variant")
-    meeting = cut(variants.mapInArrow(_meeting, "variant long, one boolean, node long"), "meeting")
+    return cut(variants.mapInArrow(_meeting, "variant long, one boolean, node long"), "meeting")
+
+
+def candidates(nodes: DataFrame, meeting: DataFrame, reach: int) -> DataFrame:
+    """Edges (a, b), a < b, each once, of the first pass between the nodes (node, shingles)."""
     dealt = meeting.join(nodes.select("node", "shingles"), "node").select("variant", "one", "node", "shingles").repartition("variant").sortWithinPartitions("variant", "node")
     found = map_batches(dealt, _verified(reach), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def across(nodes: DataFrame, meeting: DataFrame, known: DataFrame, found: DataFrame, similarity: float, part: int | None = None, part_bytes: int | None = None) -> DataFrame:
+    """Links (a, b) between nodes of different classes, whose components with those classes are those of all pairs of that similarity
+    that meet. known: (node, set); found: (node, root), a node that it lacks is a class."""
+    rooted = nodes.select("node", "words").join(known, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    light = meeting.join(rooted.select("node", "root", F.octet_length("set").alias("bytes")), "node")
+    sizes = light.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(part or PART)), F.ceil(F.col("bytes") / F.lit(part_bytes or PART_BYTES))).cast("long")
+    rows = meeting.join(sizes.select("variant", parts.alias("parts")), "variant").withColumn("part", F.expr("pmod(node, parts)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
+    rows = rows.join(rooted, "node").select(F.xxhash64("variant", "p", "q").alias("key"), "variant", "p", "q", "part", "one", "node", "root", "words", "set")
+    return map_batches(rows.repartition("key").sortWithinPartitions("key", "variant", "p", "q"), _across(similarity), "a long, b long")
+
+
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """Hashes of the distinct shingles, ascending."""
     words = text.lower().split()
@@ -318,11 +390,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     nodes = cut(rows.groupBy("node", "words", "shingles").agg(F.min(order).alias("least")), "nodes")
     names = rows.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
 
-    edges = cut(candidates(nodes, distance(similarity)), "candidates")
-    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node")
+    meeting = meetings(nodes)
+    edges = cut(candidates(nodes, meeting, distance(similarity)), "candidates")
+    ends = meeting.select("node").distinct()
     ends = nodes.join(ends, "node").select(F.col("least._id").alias("_id"), F.col("least._hash").alias("_hash"), "node")
     ends = cut(null_safe_join(ends, names, ["_id", "_hash"]), "ends")
-    # The texts are read again where they are; only the sets of candidates are shuffled.
+    # The texts are read again where they are; only the sets of those that meet others are shuffled.
     table = docs.sparkSession.sparkContext.broadcast(Bitmap(ends, "_hash", 16, lambda bits: (0, 18, 36)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +407,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     passing = cut(map_batches(own, sets, "_id long, _hash long, set binary"), "passing")
     table.unpersist()
     known = cut(one_each(passing, ends).select("node", "set"), "sets")
+
     pairs = edges.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    found = components(cut(map_batches(pairs.select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "links"))
+    found = cut(components(cut(map_batches(pairs.select("a", "b", "x", "y"), _alike(similarity), "a long, b long"), "links")), "classes")
+    more = cut(across(nodes, meeting, known, found, similarity), "links")
+    if not more.isEmpty():
+        found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     linked = nodes.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     best = linked.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._id").alias("_id"), F.col("least._hash").alias("_hash")).distinct()
