@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequest, SearchTimeout
 from ..functions.dialect import Compiled, compile_pattern
 from ..functions.grams import Rarity, hash_column, signed, trigrams
-from ..functions.positions import literal_matches, regex_matches
+from ..functions.positions import Finder, literal_finder, match_rows, regex_finder
 from ..plans import candidates as cand
 from ..plans.planner import QueryPlan, plan_compiled, plan_literal
 from ..sources.corpus import Corpus
@@ -195,34 +195,33 @@ def _listed(base: DataFrame, changed: DataFrame | None) -> DataFrame:
     return out
 
 
-def located_matches(base: DataFrame, changed: DataFrame | None, found: Column, limit: int | None) -> DataFrame:
+def located_matches(base: DataFrame, changed: DataFrame | None, found: Finder, options: SearchOptions, limit: int | None) -> DataFrame:
     """Base matches by doc_id and offset, then those of the overlay by path and offset."""
     texts = base.select(F.lit(False).alias("is_overlay"), "doc_id", "path", "content")
     if changed is not None:
         texts = texts.unionByName(changed.select(F.lit(True).alias("is_overlay"), F.lit(None).cast("long").alias("doc_id"), "path", "content"))
-    rows = texts.select("is_overlay", "doc_id", "path", F.inline(found))
-    rows = rows.orderBy("is_overlay", "doc_id", "path", "byte_offset", "end_offset")
+    rows = match_rows(texts, found, not options.no_snippet).orderBy("is_overlay", "doc_id", "path", "byte_offset", "end_offset")
     return (rows if limit is None else rows.limit(limit)).select("path", "byte_offset", "end_offset", "line", "column", "snippet")
 
 
-def _parts(docs: DataFrame, base: DataFrame, changed: DataFrame | None, found: Column, limit: int | None) -> Callable | None:
+def _parts(docs: DataFrame, base: DataFrame, changed: DataFrame | None, found: Finder, options: SearchOptions) -> Callable | None:
     """located_matches() by ranges of ids, and the overlay's last."""
-    if limit is None:
+    if options.limit is None:
         return None
 
     def made() -> Iterator[Callable[[int], DataFrame]]:
         low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
         if n < EARLY_DOCS:
-            yield lambda left: located_matches(base, changed, found, left)
+            yield lambda left: located_matches(base, changed, found, options, left)
             return
         step, start, own = max(1, (high - low + 1) // FIRST_PART), None, F.col("doc_id")
         while start is None or start <= high:
             end = low + step if start is None else start + step
             within = own.isNull() | (own < end) if start is None else own >= start if end > high else (own >= start) & (own < end)
-            yield lambda left, within=within: located_matches(base.where(within), None, found, left)
+            yield lambda left, within=within: located_matches(base.where(within), None, found, options, left)
             start, step = end, 2 * step
         if changed is not None:
-            yield lambda left: located_matches(base.where(F.lit(False)), changed, found, left)
+            yield lambda left: located_matches(base.where(F.lit(False)), changed, found, options, left)
 
     return made
 
@@ -235,7 +234,7 @@ def _verifiable(base: DataFrame, changed: DataFrame | None, plan: QueryPlan, pre
     return base.where(keep), changed.where(keep) if changed is not None else None
 
 
-def _searched(sources: Sources, plan: QueryPlan, options: SearchOptions, found: Column) -> SearchResult:
+def _searched(sources: Sources, plan: QueryPlan, options: SearchOptions, found: Finder) -> SearchResult:
     indexed = _with_index(sources, plan, options.use_index)
     base, changed = _candidates(sources, plan, options, indexed)
     matches = parts = None
@@ -244,8 +243,8 @@ def _searched(sources: Sources, plan: QueryPlan, options: SearchOptions, found:
             texts = _verifiable(base, changed, plan, True)
         else:  # the scan verifies at once: grams of the text would cost more than the pattern
             texts = _verifiable(sources.base(options.filter), sources.changed(options.filter), plan, True)
-        matches = located_matches(*texts, found, options.limit)
-        parts = _parts(sources.corpus.docs if sources.index is None else sources.index.meta, *texts, found, options.limit)
+        matches = located_matches(*texts, found, options, options.limit)
+        parts = _parts(sources.corpus.docs if sources.index is None else sources.index.meta, *texts, found, options)
     return SearchResult(_listed(base, changed), matches, plan, options, parts)
 
 
@@ -255,7 +254,7 @@ def regex_search(sources: Sources, pattern: str, options: SearchOptions = Search
     compiled = compile_pattern(pattern, options.case_sensitive, options.dotall, options.multiline, options.literal)
     budget = Rarity.of(sources.index.bigrams) if options.budget and sources.index is not None else None
     plan = plan_literal(pattern.encode(), options.case_sensitive, budget) if options.literal else plan_compiled(compiled, options.case_sensitive, budget)
-    return _searched(sources, plan, options, regex_matches(F.col("content"), compiled, not options.no_snippet, options.limit))
+    return _searched(sources, plan, options, regex_finder(compiled, options.limit))
 
 
 def literal_search(sources: Sources, literal: str, options: SearchOptions = SearchOptions()) -> SearchResult:
@@ -266,7 +265,7 @@ def literal_search(sources: Sources, literal: str, options: SearchOptions = Sear
     plan = plan_literal(literal.encode(), True)
     if plan.kind == "all":  # too short for grams, but the text still has to hold it
         plan = QueryPlan("all", used_fallback=plan.used_fallback, strings=((literal.encode(),),))
-    return _searched(sources, plan, options, literal_matches(F.col("content"), literal.encode(), not options.no_snippet, options.limit))
+    return _searched(sources, plan, options, literal_finder(literal.encode(), options.limit))
 
 
 def hash_search(sources: Sources, hashes: list[int], logic: str = "and", options: HashSearchOptions = HashSearchOptions()) -> SearchResult:
@@ -288,7 +287,7 @@ def hash_search(sources: Sources, hashes: list[int], logic: str = "and", options
     matches = None
     if options.verify_literal is not None:
         compiled: Compiled = compile_pattern(options.verify_literal, options.case_sensitive, literal=True)
-        matches = located_matches(base, changed, regex_matches(F.col("content"), compiled, not options.no_snippet, options.limit), options.limit)
+        matches = located_matches(base, changed, regex_finder(compiled, options.limit), options, options.limit)
     return SearchResult(_listed(base, changed), matches, QueryPlan("all"), options)
 
 
@@ -300,7 +299,7 @@ def hot_search(hot: DataFrame, pattern: str, options: SearchOptions = SearchOpti
     kept = hot.where(options.filter.predicate(F.col("path"))).select(F.col("position").alias("doc_id"), "path", "content")
     matches = None
     if options.return_mode == "matches":
-        matches = located_matches(kept, None, regex_matches(F.col("content"), compiled, not options.no_snippet, options.limit), options.limit)
+        matches = located_matches(kept, None, regex_finder(compiled, options.limit), options, options.limit)
     return SearchResult(_listed(kept, None), matches, QueryPlan("all"), options)
 
 
