@@ -35,3 +35,14 @@ def test_matches_leave_in_batches_bounded_by_bytes():
     assert sum(map(len, out)) == 400 * 50
     assert max(b.nbytes for b in out) < 2 * bt.BATCH_BYTES < sum(b.nbytes for b in out)
     assert [r["doc_id"] for b in out for r in b.to_pylist()] == [i for i in range(400) for _ in range(50)]
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 30])
+@pytest.mark.parametrize("cap", [None, 2])
+def test_matches_are_the_same_in_pieces_of_any_size(monkeypatch, size, cap):
+    texts = [("and " * (i % 7) + "x\n" + "wand é and \n" * (i % 3)).encode() if i % 11 else None for i in range(60)]
+    monkeypatch.setattr(bt, "BATCH_BYTES", size)
+    out = match_rows(Frame(texts_of(texts)), regex_finder(compile_pattern("and "), cap))
+    found = [(r["path"], r["byte_offset"], r["end_offset"], r["snippet"]) for b in out for r in b.to_pylist()]
+    spans = lambda t: match_spans(compile_pattern("and ").build(), t, cap)
+    assert found == [(str(i), r["byte_offset"], r["end_offset"], r["snippet"]) for i, t in enumerate(texts) if t for r in located(spans(t), t, True)]
