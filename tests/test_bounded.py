@@ -46,3 +46,11 @@ def test_matches_are_the_same_in_pieces_of_any_size(monkeypatch, size, cap):
     found = [(r["path"], r["byte_offset"], r["end_offset"], r["snippet"]) for b in out for r in b.to_pylist()]
     spans = lambda t: match_spans(compile_pattern("and ").build(), t, cap)
     assert found == [(str(i), r["byte_offset"], r["end_offset"], r["snippet"]) for i, t in enumerate(texts) if t for r in located(spans(t), t, True)]
+
+
+@pytest.mark.parametrize("name", ["limit_max_results", "limit_zero_is_default"])
+def test_limited_query_equals_sql_in_order(spark, name):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    found = [tuple(r) for r in entry.queries()[name](spark, "/root/testdata/sf0.001").collect()]
+    assert found == con.sql(entry.oracle_sql()[name]).fetchall()
