@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import batches as bt
+
 #: Pairs that a sparse gram spans at most, and grams that cover a literal.
 MAX_SPAN, MAX_COVERING = 24, 12
 
@@ -25,8 +27,11 @@ def fold(content: bytes) -> bytes:
 
 def pack_trigrams(content: bytes) -> np.ndarray:
     """The distinct three-byte windows as big-endian numbers, ascending."""
-    b = np.frombuffer(content, np.uint8).astype(np.int64)
-    return np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) >= 3 else np.zeros(0, np.int64)
+    b = np.frombuffer(content, np.uint8).astype(np.int32)
+    if len(b) < 3:
+        return np.zeros(0, np.int64)
+    grams = np.sort((b[:-2] << 16) | (b[1:-1] << 8) | b[2:])
+    return grams[np.append(True, grams[1:] != grams[:-1])].astype(np.int64)
 
 
 def unpack_trigram(gram: int) -> bytes:
@@ -38,10 +43,32 @@ def gram_hash(gram: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(gram)).astype(np.int64))
 
 
+def trigram_hashes(grams: np.ndarray) -> np.ndarray:
+    """gram_hash() of packed windows: XXH3 of three bytes with its default secret."""
+    g = grams.astype(np.uint64)
+    u = np.uint64
+    h = (((g >> u(16)) << u(16)) | (((g >> u(8)) & u(255)) << u(24)) | (g & u(255)) | u(3 << 8)) ^ u(0x396CFEB8 ^ 0xBE4BA423)
+    h = (h ^ (h >> u(33))) * u(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> u(29))) * u(0x165667B19E3779F9)
+    return (h ^ (h >> u(32))).astype(np.int64)
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def holding(content: Column, branches: list[set[int]], folded: bool = False) -> Column:
+    """Whether a text has all grams of a branch: one bit of it leaves Python, not its grams."""
+    wanted = [np.array(sorted(b), np.int64) for b in branches]
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        own = lambda b: pack_trigrams(b"" if b is None else fold(bytes(b)) if folded else bytes(b))
+        return texts.map(lambda b: (lambda g: any(np.isin(w, g).all() for w in wanted))(own(b))).astype(bool)
+
+    return run(content)
+
+
 def trigrams(content: Column, folded: bool = False) -> Column:
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
@@ -51,17 +78,15 @@ def trigrams(content: Column, folded: bool = False) -> Column:
 
 
 def bigram_frequency(docs: DataFrame) -> DataFrame:
-    """(key, freq) over the contents of docs; key is first byte * 256 + second. Each batch is counted before the shuffle."""
+    """(key, freq) over the contents of docs; key is first byte * 256 + second. Each piece of the texts is counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(1 << 16, np.int64)
-            for content in batch.column(0):
-                b = np.frombuffer(content.as_py() or b"", np.uint8).astype(np.int64)
-                if len(b) >= 2:
-                    total += np.bincount((b[:-1] << 8) | b[1:], minlength=1 << 16)
-            keys = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], ["key", "freq"])
+        total = np.zeros(1 << 16, np.int64)
+        for piece in bt.pieces(batches):
+            texts = [np.frombuffer(t.as_py() or b"", np.uint8).astype(np.uint16) for t in piece.column(0)]
+            total += np.bincount(np.concatenate([np.zeros(0, np.uint16), *((b[:-1] << 8) | b[1:] for b in texts)]), minlength=1 << 16)
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], ["key", "freq"])
 
     return docs.select("content").mapInArrow(run, "key long, freq long").groupBy("key").agg(F.sum("freq").alias("freq"))
 
@@ -131,9 +156,8 @@ def covering_ngrams(literal: bytes, rarity: Rarity, limit: int = MAX_COVERING) -
 
 def index_hashes(content: bytes, rarity: Rarity) -> np.ndarray:
     """Hashes of a text's windows of three bytes, and of its sparse grams."""
-    found = {gram_hash(unpack_trigram(g)) for g in pack_trigrams(content)}
-    found.update(gram_hash(content[a:b]) for a, b, _ in sparse_spans(content, rarity))
-    return np.array(sorted(found), np.int64)
+    sparse = [gram_hash(content[a:b]) for a, b, _ in sparse_spans(content, rarity)]
+    return np.unique(np.concatenate([trigram_hashes(pack_trigrams(content)), np.array(sparse, np.int64)]))
 
 
 def hash_column(content: Column, rarity: Rarity) -> Column:

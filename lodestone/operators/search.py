@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidRequest, SearchTimeout
 from ..functions.dialect import Compiled, compile_pattern
-from ..functions.grams import Rarity, hash_column, signed, trigrams
+from ..functions.grams import Rarity, hash_column, signed
 from ..functions.positions import Finder, literal_finder, match_rows, regex_finder
 from ..plans import candidates as cand
 from ..plans.planner import QueryPlan, plan_compiled, plan_literal
@@ -26,6 +26,8 @@ MODES = ("matches", "ids", "paths", "count")
 AUTO_INDEX_BYTES = 4 << 30
 #: Candidates up to which their ids are looked up first.
 LOOKUP_IDS = 2000
+#: Candidates of a stored index up to which their ids, 8 bytes each, go to all executors, so that no text is shuffled.
+SENT_IDS = 1 << 20
 #: Documents from which a limited search goes through them in parts by id; the first is this share of them, each next one twice the last.
 EARLY_DOCS, FIRST_PART = 1 << 16, 64
 
@@ -157,7 +159,7 @@ def _with_index(sources: Sources, plan: QueryPlan, use_index: str) -> bool:
     if use_index == "always":
         return True
     size, n = sources.index.size()
-    return size >= AUTO_INDEX_BYTES and cand.rarest(sources.index.gram_counts(plan.folded), plan) <= cand.SELECTIVE * n
+    return size >= AUTO_INDEX_BYTES and cand.rarest(sources.index.gram_counts(plan.folded, cand.wanted_grams(plan)), plan) <= cand.SELECTIVE * n
 
 
 def _candidates(sources: Sources, plan: QueryPlan, options: SearchOptions, indexed: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -167,25 +169,25 @@ def _candidates(sources: Sources, plan: QueryPlan, options: SearchOptions, index
     """
     base, changed = sources.base(options.filter), sources.changed(options.filter)
     if plan.kind != "all":
-        grams = lambda c: cand.admitted(trigrams(c, plan.folded), plan)
         if indexed:
-            hit = cand.by_plan(sources.index.grams(plan.folded), plan)
+            hit = cand.by_plan(sources.index.grams(plan.folded, cand.wanted_grams(plan)), plan)
             ids = hit.unionByName(sources.index.meta.where("NOT indexed").select("doc_id"))
             base = _looked_up(base, ids, sources, plan)
         else:
-            base = base.where(~F.col("indexed") | (cand.required_bytes(F.col("content"), plan) & grams(F.col("content"))))
+            base = base.where(~F.col("indexed") | cand.held(F.col("content"), plan))
         if changed is not None:
-            changed = changed.where(grams(F.col("content")))
+            changed = changed.where(cand.held(F.col("content"), plan))
     return base, changed
 
 
 def _looked_up(base: DataFrame, ids: DataFrame, sources: Sources, plan: QueryPlan) -> DataFrame:
     """The documents of some ids. A few ids that a stored index names go into the scan's filter, which skips what holds none of them."""
-    if sources.index.doc_count is not None and cand.rarest(sources.index.gram_counts(plan.folded), plan) <= LOOKUP_IDS:
+    most = None if sources.index.doc_count is None else cand.rarest(sources.index.gram_counts(plan.folded, cand.wanted_grams(plan)), plan)
+    if most is not None and most <= LOOKUP_IDS:
         few = [r[0] for r in ids.limit(LOOKUP_IDS + 1).collect()]
         if len(few) <= LOOKUP_IDS:
             return base.where(F.col("doc_id").isin(few))
-    return base.join(ids, "doc_id", "left_semi")
+    return base.join(F.broadcast(ids) if most is not None and most <= SENT_IDS else ids, "doc_id", "left_semi")
 
 
 def _listed(base: DataFrame, changed: DataFrame | None) -> DataFrame:
@@ -279,7 +281,8 @@ def hash_search(sources: Sources, hashes: list[int], logic: str = "and", options
     wanted = sorted({signed(int(h)) for h in hashes})
     base, changed = sources.base(options.filter), sources.changed(options.filter)
     if wanted or logic == "or":
-        hit = cand.all_of(sources.index.hashes, wanted, "hash") if logic == "and" else cand.any_of(sources.index.hashes, wanted, "hash")
+        hashes = sources.index.hashed(wanted)
+        hit = cand.all_of(hashes, wanted, "hash") if logic == "and" else cand.any_of(hashes, wanted, "hash")
         base = base.join(hit.unionByName(sources.index.meta.where("NOT indexed").select("doc_id")), "doc_id", "left_semi")
     if changed is not None:
         rarity = Rarity.of(sources.index.bigrams)

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from itertools import product
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grams import holding, unpack_trigram
 from .planner import QueryPlan
 
 #: Share of the documents with a plan's rarest gram above which a scan is cheaper.
 SELECTIVE = 0.1
+#: Strings of a plan's grams up to which the JVM looks for them in a text; more go to Python.
+NATIVE_GRAMS = 64
 
 
 def _in(column: str, values: Iterable[int]) -> Column:
@@ -48,6 +54,27 @@ def admitted(grams: Column, plan: QueryPlan) -> Column:
     return out
 
 
+def held(content: Column, plan: QueryPlan) -> Column:
+    """The same test on the text itself. A few grams are looked for in the JVM, byte by byte and letter by letter of either case."""
+    if plan.kind == "all":
+        return F.lit(True)
+    spelled = [[_spellings(int(g), plan.folded) for g in sorted(wanted)] for wanted in plan.grams]
+    if sum(len(s) for branch in spelled for s in branch) > NATIVE_GRAMS:
+        return holding(content, [{int(g) for g in wanted} for wanted in plan.grams], plan.folded)
+    out = F.lit(False)
+    for branch in spelled:
+        has = F.lit(True)
+        for spellings in branch:
+            has = has & reduce(or_, [F.contains(content, F.lit(bytearray(s))) for s in spellings])
+        out = out | has
+    return out
+
+
+def _spellings(gram: int, folded: bool) -> list[bytes]:
+    each = [(b, b - 32) if folded and 97 <= b <= 122 else (b,) for b in unpack_trigram(gram)]
+    return [bytes(s) for s in product(*each)]
+
+
 def hashes_admitted(hashes: Column, wanted: list[int], logic: str) -> Column:
     """All (of none: true) or any (of none: false) of the wanted hashes."""
     if not wanted:
@@ -56,9 +83,13 @@ def hashes_admitted(hashes: Column, wanted: list[int], logic: str) -> Column:
     return F.size(F.array_except(own, hashes)) == 0 if logic == "and" else F.arrays_overlap(own, hashes)
 
 
+def wanted_grams(plan: QueryPlan) -> set[int]:
+    return {int(g) for grams in plan.grams for g in grams}
+
+
 def rarest(counts: DataFrame, plan: QueryPlan) -> int:
     """An upper bound of the documents that the plan admits, from (gram, n): the rarest gram's number of each branch, added up."""
-    wanted = {int(g) for grams in plan.grams for g in grams}
+    wanted = wanted_grams(plan)
     found = {r["gram"]: r["n"] for r in counts.where(_in("gram", wanted)).collect()}  # one row for each gram of the pattern
     return sum(min(found.get(g, 0) for g in grams) for grams in plan.grams)
 
